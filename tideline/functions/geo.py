@@ -14,6 +14,12 @@ def _c(col: Column | str | float) -> Column:
     return col if isinstance(col, Column) else F.lit(col)
 
 
+def clip(value: Column, low: Column | float, high: Column | float) -> Column:
+    """Value kept within two bounds; NULL stays NULL (``least``/``greatest`` would skip it)."""
+    low, high = _c(low), _c(high)
+    return F.when(value < low, low).when(value > high, high).otherwise(value)
+
+
 # Metres per degree used for scale estimates, and raster size limits.
 METRES_PER_DEGREE = 111320.0
 METRES_PER_DEGREE_LAT = 110540.0
@@ -23,7 +29,7 @@ RASTER_MIN, RASTER_MAX = 64, 2500
 
 def utm_epsg(lon: Column | str, lat: Column | str) -> Column:
     """326zz north of (and on) the equator, 327zz south; zone kept within 1..60."""
-    zone = F.least(F.greatest(F.floor((_c(lon) + 180.0) / 6.0) + 1, F.lit(1)), F.lit(60))
+    zone = clip(F.floor((_c(lon) + 180.0) / 6.0) + 1, 1, 60)
     return (F.when(_c(lat) >= 0, 32600).otherwise(32700) + zone).cast("int")
 
 
@@ -33,7 +39,8 @@ def metric_epsg(epsg: Column | str, is_geographic: Column | str, lon: Column | s
 
 
 def cos_floor(lat: Column | str) -> Column:
-    return F.greatest(F.abs(F.cos(F.radians(_c(lat)))), F.lit(MIN_COS_LAT))
+    c = F.abs(F.cos(F.radians(_c(lat))))
+    return F.when(c < MIN_COS_LAT, MIN_COS_LAT).otherwise(c)
 
 
 def m_to_units(metres: Column | str | float, is_geographic: Column | str, lat: Column | str) -> Column:
@@ -51,7 +58,7 @@ def bbox_dims(west, south, east, north, metres: float = 10.0) -> Column:
     lat = (_c(south) + _c(north)) / 2.0
     w = F.ceil(F.abs(_c(east) - _c(west)) * METRES_PER_DEGREE * cos_floor(lat) / metres)
     h = F.ceil(F.abs(_c(north) - _c(south)) * METRES_PER_DEGREE_LAT / metres)
-    clamp = lambda v: F.least(F.greatest(v, F.lit(RASTER_MIN)), F.lit(RASTER_MAX)).cast("int")
+    clamp = lambda v: clip(v, RASTER_MIN, RASTER_MAX).cast("int")
     return F.struct(clamp(w).alias("width"), clamp(h).alias("height"))
 
 
@@ -64,7 +71,8 @@ def pixel_area(a, e, is_geographic, lat) -> Column:
 
 
 def min_patch_px(min_area_m2: float, area: Column | str) -> Column:
-    return F.greatest(F.ceil(F.lit(float(min_area_m2)) / _c(area)).cast("int"), F.lit(1))
+    n = F.ceil(F.lit(float(min_area_m2)) / _c(area)).cast("int")
+    return F.when(n < 1, 1).otherwise(n)
 
 
 def pix_to_world(row, col, a, c, e, f) -> Column:
@@ -76,9 +84,9 @@ def pix_to_world(row, col, a, c, e, f) -> Column:
 
 def world_to_pix(x, y, a, c, e, f, width, height) -> Column:
     """Inverse affine (corner based), clipped to the image."""
-    clip = lambda v, n: F.greatest(F.least(v, _c(n) - 1.0), F.lit(0.0))
     return F.struct(
-        clip((_c(y) - _c(f)) / _c(e), height).alias("row"), clip((_c(x) - _c(c)) / _c(a), width).alias("col")
+        clip((_c(y) - _c(f)) / _c(e), 0.0, _c(height) - 1.0).alias("row"),
+        clip((_c(x) - _c(c)) / _c(a), 0.0, _c(width) - 1.0).alias("col"),
     )
 
 
@@ -90,28 +98,26 @@ def linear_world(row, col, width, height, west, east, south, north) -> Column:
     )
 
 
-def rescale_points(points: Column | str, src_w, src_h, dst_w, dst_h, clip: bool = True) -> Column:
+def rescale_points(points: Column | str, src_w, src_h, dst_w, dst_h, keep_inside: bool = True) -> Column:
     """Points from one image size to another."""
     def one(p: Column) -> Column:
         x, y = p["x"] * (_c(dst_w) / _c(src_w)), p["y"] * (_c(dst_h) / _c(src_h))
-        if clip:
-            x = F.greatest(F.least(x, _c(dst_w) - 1.0), F.lit(0.0))
-            y = F.greatest(F.least(y, _c(dst_h) - 1.0), F.lit(0.0))
+        if keep_inside:
+            x, y = clip(x, 0.0, _c(dst_w) - 1.0), clip(y, 0.0, _c(dst_h) - 1.0)
         return F.struct(x.alias("x"), y.alias("y"))
 
     return F.transform(_c(points), one)
 
 
-def to_unit(value, low, high, clip: bool = True) -> Column:
+def to_unit(value, low, high) -> Column:
     """Coordinate to [0,1] of a box side; span floor 1e-9."""
     u = (_c(value) - _c(low)) / F.greatest(_c(high) - _c(low), F.lit(1e-9))
-    return F.greatest(F.least(u, F.lit(1.0)), F.lit(0.0)) if clip else u
+    return clip(u, 0.0, 1.0)
 
 
 def from_unit(u, low, high) -> Column:
     """Clip to [0,1] and spread over a box side; span floor 1e-9."""
-    v = F.greatest(F.least(_c(u), F.lit(1.0)), F.lit(0.0))
-    return _c(low) + v * F.greatest(_c(high) - _c(low), F.lit(1e-9))
+    return _c(low) + clip(_c(u), 0.0, 1.0) * F.greatest(_c(high) - _c(low), F.lit(1e-9))
 
 
 def line_to_unit(line: Column | str, bbox: Column | str) -> Column:

@@ -68,7 +68,7 @@ def interpolate(line: Column | str, distance: Column, normalized: bool = False)
         seg = _dist(s["a"], s["b"])
         rest = d - acc["left"]
         inside = (~acc["done"]) & (rest <= seg) & (seg > 0)
-        r = rest / seg
+        r = F.try_divide(rest, seg)
         here = point(s["a"]["x"] + r * (s["b"]["x"] - s["a"]["x"]), s["a"]["y"] + r * (s["b"]["y"] - s["a"]["y"]))
         return F.struct(
             (acc["left"] + seg).alias("left"),
@@ -86,7 +86,7 @@ def project_on(line: Column | str, p: Column) -> Column:
     def walk(acc: Column, s: Column) -> Column:
         dx, dy = s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"]
         seg = F.hypot(dx, dy)
-        raw = ((p["x"] - s["a"]["x"]) * dx + (p["y"] - s["a"]["y"]) * dy) / (seg * seg)
+        raw = F.try_divide((p["x"] - s["a"]["x"]) * dx + (p["y"] - s["a"]["y"]) * dy, seg * seg)
         t = F.when(seg > 0, F.greatest(F.least(raw, F.lit(1.0)), F.lit(0.0))).otherwise(0.0)
         off = F.hypot(p["x"] - s["a"]["x"] - t * dx, p["y"] - s["a"]["y"] - t * dy)
         return F.struct(
@@ -138,7 +138,7 @@ def centroid(ring: Column | str) -> Column:
         steps(ring),
         zero,
         walk,
-        lambda acc: F.when(acc["a"] != 0, point(x0 + acc["cx"] / acc["a"], y0 + acc["cy"] / acc["a"])).otherwise(
+        lambda acc: F.when(acc["a"] != 0, point(x0 + F.try_divide(acc["cx"], acc["a"]), y0 + F.try_divide(acc["cy"], acc["a"]))).otherwise(
             point(mean("x"), mean("y"))
         ),
     )
@@ -156,7 +156,7 @@ def line_centroid(line: Column | str) -> Column:
             (acc["cy"] + d * (s["a"]["y"] + s["b"]["y"]) / 2).alias("cy"),
         )
 
-    return F.aggregate(steps(line), zero, walk, lambda acc: point(acc["cx"] / acc["l"], acc["cy"] / acc["l"]))
+    return F.aggregate(steps(line), zero, walk, lambda acc: point(F.try_divide(acc["cx"], acc["l"]), F.try_divide(acc["cy"], acc["l"])))
 
 
 def _side(a: Column, b: Column, p: Column) -> Column:
@@ -205,7 +205,7 @@ def in_polygon(x: Column, y: Column, ring: Column | str) -> Column:
         lambda acc, s: acc
         + F.when(
             ((s["a"]["y"] > y) != (s["b"]["y"] > y))
-            & (x < (s["b"]["x"] - s["a"]["x"]) * (y - s["a"]["y"]) / (s["b"]["y"] - s["a"]["y"]) + s["a"]["x"]),
+            & (x < F.try_divide((s["b"]["x"] - s["a"]["x"]) * (y - s["a"]["y"]), s["b"]["y"] - s["a"]["y"]) + s["a"]["x"]),
             1,
         ).otherwise(0),
     )

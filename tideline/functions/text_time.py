@@ -130,12 +130,14 @@ def month_windows(df: DataFrame, start: str, end: str) -> DataFrame:
 
 def horizon_days(years: Column | str) -> Column:
     """Years to days, half to even, at least one."""
-    return F.greatest(F.rint(_c(years) * 365.25).cast("int"), F.lit(1))
+    days = F.rint(_c(years) * 365.25).cast("int")
+    return F.when(days < 1, 1).otherwise(days)
 
 
 def horizon_steps(days: Column | str) -> Column:
     """Days to monthly steps, at least one."""
-    return F.greatest(F.ceil(F.greatest(_c(days), F.lit(1)) / 30.0).cast("int"), F.lit(1))
+    steps = F.ceil(_c(days) / 30.0).cast("int")
+    return F.when(steps < 1, 1).otherwise(steps)
 
 
 def scene_seed(run: Column | str, scene: Column | str) -> Column:

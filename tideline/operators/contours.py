@@ -55,7 +55,7 @@ def iso_segments(df: DataFrame, keys: Sequence[str], value: str, level: Column)
     r, c = F.col("row").cast("long"), F.col("col").cast("long")
 
     def share(a: str, b: str) -> Column:
-        return F.when(F.col(a) == F.col(b), 0.0).otherwise((lv - F.col(a)) / (F.col(b) - F.col(a)))
+        return F.coalesce(F.try_divide(lv - F.col(a), F.col(b) - F.col(a)), F.lit(0.0))
 
     # horizontal edges start at a pixel and run right (even id), vertical ones run down (odd id)
     eid = lambda rr, cc, odd: (F.shiftleft(rr, 32) + cc) * 2 + odd

@@ -74,6 +74,10 @@ def _at(pos: Column) -> tuple[Column, Column]:
     return F.col("x0") + r * (F.col("x1") - F.col("x0")), F.col("y0") + r * (F.col("y1") - F.col("y0"))
 
 
+def _tagged(ks: Column, name: str, off: Column) -> Column:
+    return F.transform(ks, lambda k: F.struct(F.lit(name).alias("tag"), k.alias("k"), off.cast("double").alias("off")))
+
+
 def points_at(seg: DataFrame, keys: Sequence[str], count: Column, position, offsets: dict[str, Column]) -> DataFrame:
     """Points of each line at sampled positions, without an interval join.
 
@@ -98,7 +102,7 @@ def points_at(seg: DataFrame, keys: Sequence[str], count: Column, position, offs
         end = F.greatest(F.least(total + off, total), F.lit(0.0))
         ends_here = ((end >= F.col("cum0")) & (end < F.col("cum1"))) | (last & (end >= total))
         ks = F.concat(body, F.when(ends_here, F.array((count - 1).cast("long"))).otherwise(F.array().cast("array<bigint>")))
-        pieces.append(F.transform(ks, lambda k, n=name, o=off: F.struct(F.lit(n).alias("tag"), k.alias("k"), o.cast("double").alias("off"))))
+        pieces.append(_tagged(ks, name, off))
     out = seg.withColumn("_step", step.cast("double")).withColumn("_total", total.cast("double")).withColumn("_n", count.cast("long"))
     out = out.withColumn("_s", F.explode(F.concat(*pieces)))
     d = F.when(F.col("_s.k") >= F.col("_n") - 1, F.col("_total")).otherwise(F.col("_s.k") * F.col("_step"))
@@ -167,8 +171,8 @@ def _transects(vertices, keys, spacing, length, ratio, window, chunk, strict_end
 def _cross_lines(pts: DataFrame, keys: Sequence[str], onshore: float, offshore: float) -> DataFrame:
     dx, dy = F.col("b_x") - F.col("a_x"), F.col("b_y") - F.col("a_y")
     norm = F.hypot(dx, dy)
-    nx = F.when(norm == 0, 0.0).otherwise(-dy / norm)
-    ny = F.when(norm == 0, 1.0).otherwise(dx / norm)
+    nx = F.coalesce(F.try_divide(-dy, norm), F.lit(0.0))
+    ny = F.coalesce(F.try_divide(dx, norm), F.lit(1.0))
     p = pts.withColumn("_nx", nx).withColumn("_ny", ny)
     return p.select(
         *keys,
@@ -215,7 +219,7 @@ def transects_degrees(
     window = F.col("total") * 0.01
     many = seg.filter(count > 1)
     pts = points_at(
-        many, keys, count, (F.col("total") / (count - 1), F.col("total")), {"c": F.lit(0.0), "a": -window, "b": window}
+        many, keys, count, (F.try_divide(F.col("total"), count - 1), F.col("total")), {"c": F.lit(0.0), "a": -window, "b": window}
     )
     # a single transect sits at the start of its line
     one = seg.filter((count == 1) & (F.col("cum0") <= window))
@@ -242,7 +246,7 @@ def resample(vertices: DataFrame, keys: Sequence[str], n: int, chunk: Column | N
 def resample_ordered(vertices: DataFrame, keys: Sequence[str], n: Column, chunk: Column | None = None) -> DataFrame:
     """As ``resample`` without removing repeated vertices; ``n`` may depend on the keys and ``total``."""
     seg = measured_segments(vertices, keys, chunk)
-    pts = points_at(seg, keys, n, (F.col("total") / (n - 1), F.col("total")), {"c": F.lit(0.0)})
+    pts = points_at(seg, keys, n, (F.try_divide(F.col("total"), n - 1), F.col("total")), {"c": F.lit(0.0)})
     return pts.select(*keys, F.col("k").alias("seq"), F.col("c_x").alias("x"), F.col("c_y").alias("y"))
 
 

@@ -42,7 +42,7 @@ def fill_linear(
     start = F.when(F.size("prev") > 0, here).otherwise(F.least(F.col("_first"), here))
     stop = F.when(F.size("next") > 0, there - 1).otherwise(F.greatest(F.col("_last"), here))
     rows = near.withColumn("_k", F.explode(F.sequence(start, stop)))
-    share = (F.col("_k") - here) / (there - here)
+    share = F.try_divide(F.col("_k") - here, there - here)
     between = (F.col("_k") > here) & (F.size("next") > 0)
     cols = [
         F.when(between, F.col(v) + share * (nth("next", 0, v) - F.col(v))).otherwise(F.col(v)).alias(v) for v in values

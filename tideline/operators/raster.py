@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.functions.geo import clip
 from tideline.operators import profiles
 from tideline.operators.skew import exact_quantiles, salted_join, tile_halo
 
@@ -38,20 +39,20 @@ def _unmasked(value: Column, mask: Column | None) -> Column:
 def nd_index(a: Column | str, b: Column | str, mask: Column | None = None) -> Column:
     """``(a-b)/(a+b)``; NULL when masked or the sum is 0."""
     total = _c(a) + _c(b)
-    return _unmasked(F.when(total != 0, (_c(a) - _c(b)) / total), mask)
+    return _unmasked(F.when(total != 0, F.try_divide(_c(a) - _c(b), total)), mask)
 
 
 def savi(nir: Column | str = "b08", red: Column | str = "b04", mask: Column | None = None) -> Column:
     """Soil-adjusted index with L = 0.5."""
     den = _c(nir) + _c(red) + 0.5
-    return _unmasked(F.when(den != 0, (_c(nir) - _c(red)) / den * 1.5), mask)
+    return _unmasked(F.when(den != 0, F.try_divide(_c(nir) - _c(red), den) * 1.5), mask)
 
 
 def rbnd(nir: Column | str = "b08", red: Column | str = "b04", blue: Column | str = "b02", mask: Column | None = None) -> Column:
     """``(nir-(red+blue))/(nir+red+blue)``."""
     both = _c(red) + _c(blue)
     den = _c(nir) + both
-    return _unmasked(F.when(den != 0, (_c(nir) - both) / den), mask)
+    return _unmasked(F.when(den != 0, F.try_divide(_c(nir) - both, den)), mask)
 
 
 def nodata_mask(mode: str = "bands", bands: Sequence[str] = BANDS) -> Column:
@@ -175,8 +176,8 @@ def stretch(df: DataFrame, cols: Sequence[str], low: float = 0.02, high: float =
         joined = salted_join(out, q, keys, "left", spread=["row", "col"])
         pick = F.col("_hi") > F.col("_lo")
         lo, hi = F.when(pick, F.col("_lo")).otherwise(F.col("_min")), F.when(pick, F.col("_hi")).otherwise(F.col("_max"))
-        scaled = F.when(hi > lo, (F.col(c) - lo) / (hi - lo)).otherwise(F.when(F.col(c).isNotNull(), 0.0))
-        out = joined.withColumn(c, F.greatest(F.least(scaled, F.lit(1.0)), F.lit(0.0))).drop("_lo", "_hi", "_min", "_max")
+        scaled = F.when(hi > lo, F.try_divide(F.col(c) - lo, hi - lo)).otherwise(F.when(F.col(c).isNotNull(), 0.0))
+        out = joined.withColumn(c, clip(scaled, 0.0, 1.0)).drop("_lo", "_hi", "_min", "_max")
     return out
 
 
@@ -187,7 +188,7 @@ def stretch_u8(df: DataFrame, cols: Sequence[str], low: float = 0.02, high: floa
         q = exact_quantiles(df, keys, c, [low, high], ["_lo", "_hi"])
         joined = salted_join(out, q, keys, "left", spread=["row", "col"])
         hi = F.when(F.col("_hi") <= F.col("_lo"), F.col("_lo") + 1e-6).otherwise(F.col("_hi"))
-        x = F.greatest(F.least((F.col(c) - F.col("_lo")) / (hi - F.col("_lo")), F.lit(1.0)), F.lit(0.0))
+        x = clip((F.col(c) - F.col("_lo")) / (hi - F.col("_lo")), 0.0, 1.0)
         out = joined.withColumn(c, F.coalesce(F.floor(x * 255.0).cast("int"), F.lit(0))).drop("_lo", "_hi")
     return out
 

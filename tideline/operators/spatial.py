@@ -18,7 +18,7 @@ def cells(x0: Column, y0: Column, x1: Column, y1: Column, size: float, pad: floa
     pad = pad + size * 1e-9
     xlo, xhi = F.least(x0, x1), F.greatest(x0, x1)
     ylo, yhi = F.least(y0, y1), F.greatest(y0, y1)
-    at = lambda x: y0 + (x - x0) / (x1 - x0) * (y1 - y0)
+    at = lambda x: y0 + F.try_divide(x - x0, x1 - x0) * (y1 - y0)
 
     def column_of_cells(ix: Column) -> Column:
         left, right = F.greatest(ix * size - pad, xlo), F.least((ix + 1) * size + pad, xhi)
@@ -47,14 +47,14 @@ def meeting_point(p: Sequence[Column], q: Sequence[Column]) -> Column:
     rx, ry, sx, sy = px1 - px0, py1 - py0, qx1 - qx0, qy1 - qy0
     wx, wy = qx0 - px0, qy0 - py0
     cross = rx * sy - ry * sx
-    t, u = (wx * sy - wy * sx) / cross, (wx * ry - wy * rx) / cross
+    t, u = F.try_divide(wx * sy - wy * sx, cross), F.try_divide(wx * ry - wy * rx, cross)
     len2 = rx * rx + ry * ry
-    a = (wx * rx + wy * ry) / len2
-    b = a + (sx * rx + sy * ry) / len2
+    a = F.try_divide(wx * rx + wy * ry, len2)
+    b = a + F.try_divide(sx * rx + sy * ry, len2)
     lo, hi = F.greatest(F.least(a, b), F.lit(0.0)), F.least(F.greatest(a, b), F.lit(1.0))
     return F.when(
         cross != 0, F.when(t.between(0, 1) & u.between(0, 1), t)
-    ).when((wx * ry - wy * rx == 0) & (lo <= hi), (lo + hi) / 2)
+    ).when((len2 > 0) & (wx * ry - wy * rx == 0) & (lo <= hi), (lo + hi) / 2)
 
 
 def transect_hits(
@@ -190,7 +190,7 @@ def pixels_near(
     p = pixels.withColumn("cx", F.floor(F.col(x) / cell)).withColumn("cy", F.floor(F.col(y) / cell))
     dx, dy = F.col("s.x1") - F.col("s.x0"), F.col("s.y1") - F.col("s.y0")
     l2 = dx * dx + dy * dy
-    raw = ((F.col(f"p.{x}") - F.col("s.x0")) * dx + (F.col(f"p.{y}") - F.col("s.y0")) * dy) / l2
+    raw = F.try_divide((F.col(f"p.{x}") - F.col("s.x0")) * dx + (F.col(f"p.{y}") - F.col("s.y0")) * dy, l2)
     t = F.when(l2 > 0, F.greatest(F.least(raw, F.lit(1.0)), F.lit(0.0))).otherwise(0.0)
     ox, oy = F.col(f"p.{x}") - F.col("s.x0") - t * dx, F.col(f"p.{y}") - F.col("s.y0") - t * dy
     on = [F.col(f"p.{k}") == F.col(f"s.{k}") for k in [*keys, "cx", "cy"]]
@@ -219,7 +219,7 @@ def _foot(px: Column, py: Column, seg: Sequence[Column]) -> tuple[Column, Column
     x0, y0, x1, y1 = seg
     dx, dy = x1 - x0, y1 - y0
     l2 = dx * dx + dy * dy
-    raw = ((px - x0) * dx + (py - y0) * dy) / l2
+    raw = F.try_divide((px - x0) * dx + (py - y0) * dy, l2)
     t = F.when(l2 > 0, F.greatest(F.least(raw, F.lit(1.0)), F.lit(0.0))).otherwise(0.0)
     return F.hypot(px - x0 - t * dx, py - y0 - t * dy), t
 
