@@ -188,7 +188,7 @@ def shape_forecast(
     rolled = wins.withColumn("_ou", roll(F.col("_u"))).withColumn("_ov", roll(F.col("_v")))
     pairs = F.arrays_zip(F.col("_ou").alias("u"), F.col("_ov").alias("v"))
     rows = rolled.select(*keys, "seq", F.posexplode(pairs).alias("_i", "_p")).select(
-        *keys, "seq", (F.col("_i") + 1).alias("step"), F.col("_p._ou").alias("u"), F.col("_p._ov").alias("v")
+        *keys, "seq", (F.col("_i") + 1).alias("step"), F.col("_p.u").alias("u"), F.col("_p.v").alias("v")
     )
     out = salted_join(rows, last, keys, spread=["seq", "step"])
     # month arithmetic that keeps the time of day

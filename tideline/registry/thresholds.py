@@ -28,7 +28,7 @@ def density_sql(rows: str, prominence: float, grid: str, log: bool = True) -> st
   nb AS (SELECT *, lag(y) OVER w AS py, lead(y) OVER w AS ny FROM curve WINDOW w AS (PARTITION BY scene_id ORDER BY g)),
   top AS (SELECT * FROM nb WHERE y > py AND y > ny),
   bound AS (SELECT t.scene_id, t.g, t.x, t.y, coalesce(max(CASE WHEN c.g < t.g AND c.y > t.y THEN c.g END), -1) AS lo, coalesce(min(CASE WHEN c.g > t.g AND c.y > t.y THEN c.g END), 100000) AS hi FROM top t JOIN curve c USING (scene_id) GROUP BY ALL),
-  prom AS (SELECT b.scene_id, b.g, b.x, b.y, b.y - greatest(min(CASE WHEN c.g > b.lo AND c.g <= b.g THEN c.y END), min(CASE WHEN c.g >= b.g AND c.g < b.hi THEN c.y END)) AS prom FROM bound b JOIN curve c USING (scene_id) GROUP BY ALL),
+  prom AS (SELECT b.scene_id, b.g, any_value(b.x) AS x, any_value(b.y) AS y, any_value(b.y) - greatest(min(CASE WHEN c.g > b.lo AND c.g <= b.g THEN c.y END), min(CASE WHEN c.g >= b.g AND c.g < b.hi THEN c.y END)) AS prom FROM bound b JOIN curve c ON c.scene_id = b.scene_id GROUP BY b.scene_id, b.g),
   peaks AS (SELECT * FROM prom WHERE prom >= {prominence})"""
 
 
