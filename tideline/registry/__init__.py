@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tideline.lineage import prepare
 
-MODULES = ["scalar", "series", "geometry", "raster", "thresholds", "metrics", "samples", "selection"]
+MODULES = ["scalar", "series", "geometry", "raster", "thresholds", "metrics", "samples", "selection", "twin"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
