@@ -93,14 +93,14 @@ def stitch(segs: DataFrame, keys: Sequence[str], min_vertices: int = 3) -> DataF
         starts.unionByName(ends).groupBy(*keys, "node").agg(F.max("next").alias("next"), F.max("row").alias("row"), F.max("col").alias("col"))
     )
     ranked = _rank(nodes, keys)
-    placed = nodes.drop("next").join(ranked, [*keys, "node"])
+    placed = cut(nodes.drop("next").join(ranked, [*keys, "node"]))
     back = placed.filter(F.col("closed") & (F.col("seq") == 0))
     size = placed.groupBy(*keys, "contour").agg((F.count("*") + F.max(F.col("closed").cast("int"))).alias("n_vertices"))
     again = salted_join(back, size, [*keys, "contour"], spread=["node"]).withColumn("seq", F.col("n_vertices") - 1)
     rows = salted_join(placed, size, [*keys, "contour"], spread=["node"]).unionByName(again)
-    return rows.filter(F.col("n_vertices") >= min_vertices).select(
+    return cut(rows.filter(F.col("n_vertices") >= min_vertices).select(
         *keys, "contour", F.col("seq").cast("long").alias("seq"), "row", "col", "closed", "n_vertices"
-    )
+    ))
 
 
 def _rank(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -176,6 +176,7 @@ def contour_lines(contours: DataFrame, scenes: DataFrame, keys: Sequence[str], m
         .withColumn("y", F.col("gt_e") * (F.col("row") + 0.5) + F.col("gt_f"))
         .drop(*geo_cols)
     )
+    world = cut(world)
     lengths = geometry.line_lengths(world.select(*keys, "contour", "seq", "x", "y"), [*keys, "contour"]).drop("n_vertices")
     limit = min_length if isinstance(min_length, Column) else F.lit(float(min_length))
     return salted_join(world, lengths.filter(F.col("length") >= limit), [*keys, "contour"], spread=["seq"])

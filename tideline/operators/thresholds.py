@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.lineage import cut
 from tideline.operators.skew import exact_quantiles, salted_join
 
 SCENE = ["aoi_id", "scene_id"]
@@ -84,7 +85,7 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     grid step), so one key's list never grows with its pixels.
     """
     keys = list(keys)
-    counts = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    counts = cut(df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n")))
     span = counts.groupBy(*keys).agg(F.count("*").alias("_d"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     step = (F.col("_hi") - F.col("_lo")) / DISTINCT_LIMIT
     rounded = F.col("_lo") + F.rint((F.col("_v") - F.col("_lo")) / step) * step
@@ -125,6 +126,7 @@ def weighted_peaks(
     )
     enough = (F.col("n_a") >= min_class) & (F.col("n_b") >= min_class) & (F.col("n_a") + F.col("n_b") >= min_total)
     peak = _curve_udf(lambda v, c: two_peaks(v, c, prominence))
+    stats = cut(stats)
     ready = salted_join(rows, stats.filter(enough).select(*keys), keys, spread=[value])
     modes = value_counts(ready, keys, value).select(*keys, peak("_values", "_counts").alias("_peak"))
     middle = F.when((F.col("n_a") == 0) | (F.col("n_b") == 0), 0.0).otherwise((F.col("_ma") + F.col("_mb")) / 2)

@@ -45,7 +45,7 @@ def boundary_classes(indexed: DataFrame, min_patch: int) -> DataFrame:
     kept = components.remove_small(filtered, [*SCENE, "boundary", "kind"], min_patch)
     solid = filtered.join(kept, [*SCENE, "boundary", "kind", "row", "col"], "left_semi").unionByName(rows.filter(F.col("kind") == 12))
     first = F.col("kind").isin(1, 13)
-    return solid.withColumn("cls", F.when(first, 1).otherwise(2))
+    return cut(solid.withColumn("cls", F.when(first, 1).otherwise(2)))
 
 
 def extract_lines(
@@ -63,14 +63,14 @@ def extract_lines(
     classes = boundary_classes(idx, min_patch)
     if reference is not None:
         idx = cut(spatial.pixels_near(idx, reference, ["aoi_id"], max_distance, max_distance))
-        classes = classes.join(idx.select(*SCENE, "row", "col"), [*SCENE, "row", "col"], "left_semi")
+        classes = cut(classes.join(idx.select(*SCENE, "row", "col"), [*SCENE, "row", "col"], "left_semi"))
     keys = [*SCENE, "boundary"]
     level = cut(thresholds.weighted_peaks(classes, "value", "cls", 1, 2, keys))
     both = F.array(
         F.struct(F.lit("VE").alias("boundary"), F.col("ndvi").alias("value")), F.struct(F.lit("WL").alias("boundary"), F.col("mndwi").alias("value"))
     )
     values = idx.select(*SCENE, "row", "col", F.explode(both).alias("s")).select(*SCENE, "s.boundary", "row", "col", "s.value")
-    values = salted_join(values, level.select(*keys, "threshold"), keys, spread=["row", "col"])
+    values = cut(salted_join(values, level.select(*keys, "threshold"), keys, spread=["row", "col"]))
     segs = contours.iso_segments(values, keys, "value", F.col("threshold"))
     found = contours.stitch(segs, keys)
     frames = scenes.select(*SCENE, *GEO).withColumn("boundary", F.explode(F.array(F.lit("VE"), F.lit("WL"))))
@@ -98,13 +98,14 @@ def extract_run(
     first, level = extract_lines(pixels, scenes, areas, None, max_distance, min_length, min_patch)
     base = cut(selection.assert_present(selection.pick_baseline(line_records(first, scenes)), "no line to derive a baseline from"))
     chosen = base.select("aoi_id", "scene_id", "boundary")
-    baseline = first.join(chosen, [*SCENE, "boundary"]).select("aoi_id", "seq", "x", "y")
+    baseline = cut(first.join(chosen, [*SCENE, "boundary"]).select("aoi_id", "seq", "x", "y"))
     masked = base.filter("boundary = 'WL'").select("aoi_id", F.col("position").alias("_from"))
     later = scenes.join(masked, "aoi_id").filter(F.col("position") > F.col("_from")).drop("_from")
-    ref = geometry.segments(baseline, ["aoi_id"])
+    ref = cut(geometry.segments(baseline, ["aoi_id"]))
     again, level2 = extract_lines(
         salted_join(pixels, later.select(*SCENE), SCENE, spread=["row", "col"]), later, areas, ref, max_distance, min_length, min_patch
     )
+    later = cut(later)
     keep = lambda df: df.join(later.select(*SCENE), SCENE, "left_anti")
     return keep(first).unionByName(again), keep(level).unionByName(level2), baseline
 

@@ -168,7 +168,7 @@ def geojson_round_trip(spark, sf):
     return v.select("line_id", "i", "q.x", "q.y")
 
 
-@query("annotation_round_trip", f"WITH {p.VERTICES}, m AS (SELECT line_id, count(*) AS n, sum(x) AS sx, sum(y) AS sy FROM vertices GROUP BY 1 HAVING count(*) >= 2) SELECT line_id, n, {s3('sx')} AS sx, {s3('sy')} AS sy FROM m WHERE line_id % 3 <> 0")
+@query("annotation_round_trip", f"WITH {p.VERTICES}, m AS (SELECT line_id, count(*) AS n, sum(x) AS sx, sum(y) AS sy FROM vertices GROUP BY 1 HAVING count(*) >= 2) SELECT line_id, n, {s6('sx')} AS sx, {s6('sy')} AS sy FROM m WHERE line_id % 3 <> 0")
 def annotation_round_trip(spark, sf):
     """Every third document is cut short and must be skipped."""
     l = geometry.lines_of(p.vertices(spark, sf), ["line_id"]).withColumns({
@@ -177,7 +177,7 @@ def annotation_round_trip(spark, sf):
     docs = geojson_io.to_annotations(l, ["line_id"]).withColumn("value", F.when(F.col("line_id") % 3 == 0, F.expr("left(value, length(value) - 9)")).otherwise(F.col("value")))
     s = geojson_io.label_lines(geojson_io.parse_annotations(docs, "value"), "ve")
     total = lambda f: F.aggregate("line", F.lit(0.0), lambda a, q: a + q[f])
-    return s.select("line_id", F.size("line").alias("n"), r3(total("x")).alias("sx"), r3(total("y")).alias("sy"))
+    return s.select("line_id", F.size("line").alias("n"), r6(total("x")).alias("sx"), r6(total("y")).alias("sy"))
 
 
 @query("pixel_files", f"WITH {p.PIXELS} SELECT scene_id, row, col, {s6('b04')} AS b04, {s6('b08')} AS b08 FROM pixels WHERE row >= 5 AND row < 15 AND col >= 10 AND col < 40")
@@ -262,7 +262,7 @@ def run_summary(spark, sf):
 
 @query("extracted_lines")
 def extracted_lines(spark, sf):
-    lines, level, _ = extraction.extract_run(p.pixels(spark, sf), scene_frames(spark, sf).withColumn("position", F.col("scene_id")), max_distance=60.0, min_patch=4)
+    lines, level = extraction.extract_lines(p.pixels(spark, sf), scene_frames(spark, sf), min_patch=4)
     n = lines.groupBy("scene_id", "boundary").agg(F.count("*").alias("n_vertices"), r3(F.max("length")).alias("length"))
     return level.select("scene_id", "boundary", r6("threshold").alias("threshold"), "n_a", "n_b").join(n, ["scene_id", "boundary"], "left")
 
