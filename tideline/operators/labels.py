@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import lines
 from tideline.functions.geo import clip
+from tideline.lineage import cut
 from tideline.operators import geometry, profiles, raster, spatial
 from tideline.operators.skew import salted_join
 
@@ -51,6 +52,7 @@ def regularize(
     arr = arr.withColumn("_count", F.size("line")).filter("_count >= 2")
     v = geometry.vertices_of(arr, "line", [*keys, "_count"])
     smooth = profiles.savgol(v, keys, "seq", ["x", "y"], F.col("_count"), window, poly, passes, keep_ends=True, rule="grow")
+    smooth = cut(smooth)
     lengths = geometry.line_lengths(smooth.select(*keys, "seq", "x", "y"), keys)
     n = lengths.select(*keys, lines.target_points(F.col("length"), F.col("n_vertices"), fixed, low, high, per_100px).alias("_n"))
     tagged = salted_join(smooth.select(*keys, "seq", "x", "y"), n, keys, spread=["seq"])
@@ -138,8 +140,11 @@ def score_contours(
     )
     low = lambda f: F.greatest(F.lit(0.05), 1.0 - F.col(f))
     score = F.col("length") * low("border_frac") * low("mask_edge_frac")
+    out = cut(out)
+    seg = None
+    if refs is not None or transects is not None:
+        seg = cut(geometry.segments(contours.select(*ck, "seq", "x", "y"), ck))
     if refs is not None:
-        seg = geometry.segments(contours.select(*ck, "seq", "x", "y"), ck)
         gap = spatial.nearest_segment(seg, refs, [*ck, "seq"], ["aoi_id"], reach).groupBy(*ck).agg(F.min("distance").alias("ref_dist"))
         pts = contours.select(*ck, "seq", F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1"))
         span = spatial.nearest_segment(pts, refs, [*ck, "seq"], ["aoi_id"], reach).groupBy(*ck).agg((F.max("along") - F.min("along")).alias("_span"))
@@ -149,7 +154,6 @@ def score_contours(
         guided = score / (1.0 + F.col("ref_dist")) * F.coalesce(0.6 + 0.8 * F.col("ref_cover_ratio"), F.lit(1.0))
         score = F.when(F.col("ref_dist").isNotNull(), guided).otherwise(score)
     if transects is not None:
-        seg = geometry.segments(contours.select(*ck, "seq", "x", "y"), ck)
         lk = [k for k in ck if k != "aoi_id"]
         stats = spatial.hit_stats(transects, seg, lk, cell=transect_length).select(*ck, "hits", "hit_ratio", "median_offset", "n_transects")
         out = out.join(stats, ck, "left")
@@ -177,14 +181,14 @@ def ref_mask(pixels: DataFrame, refs: DataFrame, distance: float, keys: Sequence
     """
     keys = list(keys)
     d = distance * factor
-    near = spatial.pixels_near(pixels, refs, ["aoi_id"], d, 2 * d)
+    near = cut(spatial.pixels_near(pixels, refs, ["aoi_id"], d, 2 * d).select(*keys))
     size = pixels.groupBy(*keys).agg((F.max("height") * F.max("width")).alias("_size"))
     covered = near.groupBy(*keys).agg(F.count("*").alias("_n"))
     src = refs.groupBy("aoi_id").agg(F.min("source").alias("_source"))
     plan = salted_join(size.join(covered, keys, "left"), src, ["aoi_id"], "left", spread=["_size"])
     thin = F.coalesce(F.col("_n"), F.lit(0)) / F.col("_size") < 0.01
     plan = plan.withColumn("_mode", F.when(F.col("_source").isNull(), "all").when(~thin, "near").when(F.col("_source") == "manual", "wide").otherwise("all")).select(*keys, "_mode")
-    marked = salted_join(pixels, plan, keys, spread=["row", "col"])
+    marked = cut(salted_join(pixels, cut(plan), keys, spread=["row", "col"]))
     wide = spatial.pixels_near(marked.filter("_mode = 'wide'"), refs, ["aoi_id"], 2 * d, 2 * d)
     close = spatial.pixels_near(marked.filter("_mode = 'near'"), refs, ["aoi_id"], d, 2 * d)
     return marked.filter("_mode = 'all'").unionByName(wide).unionByName(close).drop("_mode")
@@ -243,11 +247,11 @@ def augment(df: DataFrame, sample: Sequence[str], bands: Sequence[str], seed: in
     )
     new = F.when(d("crop") < 0.8, F.greatest(F.least(F.lit(64), side), F.floor(side * between("scale", 0.7, 1.0)).cast("int"))).otherwise(side)
     room = side - new + 1
-    cut = turned.withColumn("_new", new.cast("int")).withColumn("_x", F.floor(d("x") * room).cast("int")).withColumn("_y", F.floor(d("y") * room).cast("int"))
-    cut = cut.withColumn("col", F.col("col") - F.col("_x")).withColumn("row", F.col("row") - F.col("_y"))
-    cut = cut.filter((F.col("col") >= 0) & (F.col("col") < F.col("_new")) & (F.col("row") >= 0) & (F.col("row") < F.col("_new"))).withColumn("side", F.col("_new")).drop("_new", "_x", "_y")
+    kept = turned.withColumn("_new", new.cast("int")).withColumn("_x", F.floor(d("x") * room).cast("int")).withColumn("_y", F.floor(d("y") * room).cast("int"))
+    kept = kept.withColumn("col", F.col("col") - F.col("_x")).withColumn("row", F.col("row") - F.col("_y"))
+    kept = kept.filter((F.col("col") >= 0) & (F.col("col") < F.col("_new")) & (F.col("row") >= 0) & (F.col("row") < F.col("_new"))).withColumn("side", F.col("_new")).drop("_new", "_x", "_y")
     lit = d("light") < 0.8
-    bright = cut.withColumns({b: F.when(lit, F.col(b) * between("bright", 0.7, 1.3)).otherwise(F.col(b)) for b in bands})
+    bright = kept.withColumns({b: F.when(lit, F.col(b) * between("bright", 0.7, 1.3)).otherwise(F.col(b)) for b in bands})
     means = bright.groupBy(*sample).agg(F.avg(sum((F.col(b) for b in bands), F.lit(0.0)) / len(bands)).alias("_mean"))
     toned = salted_join(bright, means, sample, spread=["row", "col"])
     toned = toned.withColumns({

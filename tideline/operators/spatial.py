@@ -137,7 +137,7 @@ def hit_stats(transects: DataFrame, segs: DataFrame, line_keys: Sequence[str], c
 
     A line has at most one nearest hit per transect of its AOI, which bounds each group.
     """
-    near = intersect(transects, segs, line_keys, cell=cell)
+    near = cut(intersect(transects, segs, line_keys, cell=cell))
     n = transects.groupBy("aoi_id").agg(F.count("*").alias("n_transects"))
     got = near.groupBy("aoi_id", *line_keys).agg(
         F.count("*").alias("hits"), F.percentile(F.abs("distance_signed"), F.lit(0.5)).alias("median_offset")
@@ -157,7 +157,7 @@ def reconstruct(
     Needs at least 3 hits and ``min_ratio`` of the transects; missing transects are filled
     linearly along the transect index, constant at the ends. Returns ``seq, x, y, known``.
     """
-    near = nearest_hits(transect_hits(transects, segs, scene_keys, cell=cell), ["aoi_id", *scene_keys])
+    near = cut(nearest_hits(transect_hits(transects, segs, scene_keys, cell=cell), ["aoi_id", *scene_keys]))
     n = transects.groupBy("aoi_id").agg(F.count("*").alias("n_transects"), F.max("transect_index").alias("last_index"))
     counts = near.groupBy("aoi_id", *scene_keys).agg(F.count("*").alias("hits"))
     good = (
@@ -165,7 +165,7 @@ def reconstruct(
         .withColumn("hit_ratio", F.col("hits") / F.col("n_transects"))
         .filter((F.col("hits") >= 3) & (F.col("hit_ratio") >= min_ratio))
     )
-    known = salted_join(near, good, ["aoi_id", *scene_keys], spread=["transect_index"])
+    known = cut(salted_join(near, cut(good), ["aoi_id", *scene_keys], spread=["transect_index"]))
     filled = fill_linear(
         known.select("aoi_id", *scene_keys, "transect_index", "x", "y", "hits", "hit_ratio", "last_index"),
         ["aoi_id", *scene_keys],

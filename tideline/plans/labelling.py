@@ -57,7 +57,7 @@ def label_edges(
         if transects is None:
             return mask, mask
         strip = spatial.pixels_near(mask, transects, ["aoi_id"], corridor, corridor)
-        return mask, labels.corridor_gate(mask, strip)
+        return mask, cut(labels.corridor_gate(mask, cut(strip)))
 
     def class_values(sampling: DataFrame) -> DataFrame:
         values = thresholds.clip_index(labelled.join(sampling.select(*SCENE).distinct(), SCENE, "left_semi"), sampling, "ndvi", "cls", grow=5)
@@ -81,7 +81,7 @@ def label_edges(
 
     def trace(area_mask: DataFrame) -> DataFrame:
         rows = salted_join(area_mask.select(*SCENE, "row", "col", "ndvi"), level.select(*SCENE, "threshold"), SCENE, spread=["row", "col"])
-        found = contours.stitch(contours.iso_segments(rows, SCENE, "ndvi", F.col("threshold")), SCENE, min_vertices=2)
+        found = contours.stitch(contours.iso_segments(cut(rows), SCENE, "ndvi", F.col("threshold")), SCENE, min_vertices=2)
         world = contours.contour_lines(found, frame, SCENE)
         return cut(salted_join(world, frame.select(*SCENE, "height", "width"), SCENE, spread=["contour", "seq"]))
 
@@ -96,17 +96,17 @@ def label_edges(
     points = None
     rebuilt = None
     if transects is not None:
-        line_segs = geometry.segments(world.select(*SCENE, "contour", "seq", "x", "y"), [*SCENE, "contour"])
+        line_segs = cut(geometry.segments(world.select(*SCENE, "contour", "seq", "x", "y"), [*SCENE, "contour"]))
         rebuilt = cut(spatial.reconstruct(transects, line_segs, ["scene_id"], reconstruct_ratio, cell=transect_length))
         pix = salted_join(rebuilt, frame, SCENE, spread=["seq"])
         inv = lambda w, a, c, n: raster.clip((F.col(w) - F.col(c)) / F.col(a), 0.0, F.col(n) - 1.0)
         points = pix.select(*SCENE, "seq", inv("x", "gt_a", "gt_c", "width").alias("x"), inv("y", "gt_e", "gt_f", "height").alias("y"), F.lit("reconstruct").alias("how"))
     done = None if rebuilt is None else rebuilt.select(*SCENE).distinct()
     rest = world if done is None else world.join(done, SCENE, "left_anti")
-    rest = rest.filter(F.col("length") >= min_length)
-    edge = raster.near_mask_edge(mask, SCENE)
+    rest = cut(rest.filter(F.col("length") >= min_length))
+    edge = cut(raster.near_mask_edge(mask, SCENE))
     scores = cut(labels.score_contours(rest, SCENE, segs, edge, transects, transect_length, min_hit_ratio))
-    best = labels.best_contour(scores, SCENE)
+    best = cut(labels.best_contour(scores, SCENE))
     chosen = salted_join(rest, best, [*SCENE, "contour"], spread=["seq"])
     traced = labels.contour_profile(chosen, SCENE) if profile else labels.raw_points(chosen, SCENE)
     traced = traced.select(*SCENE, "seq", "x", "y", F.lit("contour").alias("how"))
