@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import chosen_path, hash_index, line_chunks, mixing, noisy_channel, pieces, rank_profiles, rule_cascade, tool_calls, url_filters
+from tideline.llm import chosen_path, hash_index, line_chunks, mixing, noisy_channel, oracles, pieces, rank_profiles, rule_cascade, tool_calls, url_filters
 
 #: Where the public tokenizer files lie; a parameter of operator 8.
 TOKENIZER = os.environ.get("TIDELINE_TOKENIZER", "/opt/tokenizers/piece_bpe_32k.model")
@@ -85,7 +85,8 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), target_entropy=TARGET_ENTROPY, max_repetition=MAX_REPETITION)
+    out = mixing.mix(table(spark, sf_dir, "documents"), target_entropy=TARGET_ENTROPY, max_repetition=MAX_REPETITION)
+    return out.withColumn("block", F.col("block").cast("bigint"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,4 +149,4 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_url_filters, op2_chosen_path_join, op3_line_dedup, op4_toxicity, op5_exact_dedup, op6_mixing, op7_quality_rules, op8_sentencepiece, op9_language_id, op10_tool_calls)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
