@@ -17,6 +17,8 @@ from tideline.lineage import scratch_path
 from tideline.llm.tables import spread_join, stored
 
 CAPACITY = 1 << 20
+#: Bits of the key cells that are sent to every task.
+CELLS = 20
 #: The directory has at most 2 ** MAX_DEPTH cells; fuller buckets chain.
 MAX_DEPTH = 16
 
@@ -80,17 +82,18 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text: str = "text", capac
     hashed = norm.select("id", "t", (F.xxhash64("t") if key is None else key).alias("h"))
     seen = stored(hashed.select("id", "h", F.sha2("t", 256).alias("sha")), "hashed")
     index = build_index(seen, capacity, max_depth)
-    chains = index.where("n > 1").select("h")
+    chains = stored(index.where("n > 1").select("h"), "chains")
+    # a cell of the key space without a chain is left out before any text moves: at most 2 ** CELLS numbers are sent round
+    cells = F.broadcast(chains.select(cell(F.col("h"), CELLS).alias("c")).distinct())
+    near = hashed.withColumn("c", cell(F.col("h"), CELLS)).join(cells, "c", "left_semi")
     # only chained rows send their bytes; equal bytes meet before the shuffle
-    chained = stored(hashed.join(chains, "h", "left_semi"), "chained")
+    chained = stored(near.join(chains, "h", "left_semi").select("id", "t", "h"), "chained")
     groups = stored(chained.groupBy("h", "t").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     sure = groups.groupBy("h").agg(F.count(F.lit(1)).alias("texts"), F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size"))
-    # every member of a chain that holds one text was compared; chains of several texts are told apart by their bytes
-    one = sure.where("texts = 1").select("h", "keep_id", "group_size")
-    several = sure.where("texts > 1").select("h")
-    plain = seen.join(several, "h", "left_anti")
-    joined = spread_join(plain, one, ["h"], ["id", "sha"], "left")
-    apart = chained.join(several, "h", "left_semi")
+    sure = stored(sure, "compared")
+    # members of a chain that holds one text were all compared; chains of several texts are told apart by their bytes
+    joined = spread_join(seen, sure, ["h"], ["id", "sha"], "left", index.where("n > 1").select("h", F.col("n").alias("_n"))).where("texts is null or texts = 1")
+    apart = chained.join(sure.where("texts > 1").select("h"), "h", "left_semi")
     split = spread_join(apart, groups, ["h", "t"], ["id"]).withColumn("sha", F.sha2("t", 256))
     cols = ["id", "sha", "keep_id", "group_size"]
     rows = joined.select(*cols).unionByName(split.select(*cols))

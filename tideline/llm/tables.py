@@ -15,23 +15,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+def hot_keys(df: DataFrame, keys: list[str], counts: DataFrame | None = None) -> DataFrame:
     """Keys with more than one shuffle partition's even share of the rows, and how many parts they need.
 
-    At most one key per shuffle partition can have that many rows, so the result may be broadcast.
+    At most one key per shuffle partition can have that many rows, so the result may be broadcast. ``counts``
+    (keys, ``_n``) saves the counting.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     share = max(1, df.count() // partitions)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > share)
-    return counts.select(*keys, F.ceil(F.col("_n") / share).cast("int").alias("_parts"))
+    if counts is None:
+        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.where(F.col("_n") > share).select(*keys, F.ceil(F.col("_n") / share).cast("int").alias("_parts"))
 
 
-def spread_join(big: DataFrame, small: DataFrame, keys: list[str], spread: list[str], how: str = "inner") -> DataFrame:
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str], spread: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """Equi-join of ``big`` with ``small`` (few rows per key) in which hot keys of ``big`` are salted by ``spread``.
 
     Only hot keys' rows of ``small`` are copied, once per part. ``how``: ``inner`` or ``left``.
     """
-    hot = F.broadcast(stored(hot_keys(big, keys), "hot"))
+    hot = F.broadcast(stored(hot_keys(big, keys, counts), "hot"))
     parts = F.coalesce("_parts", F.lit(1))
     salted = big.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread), parts).cast("int")).drop("_parts")
     copies = small.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
