@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import chosen_path, line_chunks, mixing, pieces, queries, rule_cascade
-from tideline.llm.tables import stored
+from tideline.llm.tables import near, stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,16 +21,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated multi-line passages go from the texts; ``n_chars`` follows."""
-    return line_chunks.deduplicate_lines(docs, size_col="n_chars" if "n_chars" in docs.columns else None)
+    """Repeated multi-line passages go from the texts, and documents that held nothing else go too; ``n_chars`` follows."""
+    out = line_chunks.deduplicate_lines(docs, size_col="n_chars" if "n_chars" in docs.columns else None, marks=True)
+    left = (F.size("_removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]")
+    return out.where(left).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the document with the smallest id stays, and of rows with that id one; rows without an id name no class and stay unless a class has them."""
     classes = chosen_path.similar(docs).where("doc_id is not null and doc_id <> class_id").select(F.col("doc_id").alias("_id")).distinct()
     gone = stored(classes, "near-copies")
-    row = docs.select(F.struct("*").alias("r"))
-    return row.join(gone, F.col("r.doc_id") == F.col("_id"), "left_anti").select("r.*")
+    row = docs.select(F.struct("*").alias("r"), F.col("doc_id").alias("_id"))
+    some, rest = near(row, gone, ["_id"])
+    return some.join(gone, "_id", "left_anti").select("r").unionByName(rest.select("r")).select("r.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -147,8 +147,10 @@ def test_line_chunks_match_brute_force(spark):
         rows.append((i, "\n".join(lines), "s"))
     rows += [(None, rows[1][1], "s"), (70, rows[3][1], "s"), (70, rows[3][1], "s"), (71, None, "s"), (72, "", "s"), (73, "\n".join([LONG] * 3), "s"), (74, "\n".join([LONG] * 3), "s")]
     df = frame(spark, rows)
-    found = line_chunks.occurrences(df, "doc_id", "text", True).collect()
-    place = lambda r: (r.id is None, r.id or 0, r.a)
+    docs = line_chunks.documents(df, "doc_id", "text")
+    number = {(r.id, None if r.lines is None else "\n".join(r.lines)): r.k for r in docs.collect()}
+    found = line_chunks.bodies(docs, line_chunks.occurrences(docs)).distinct().collect()
+    place = lambda r: (r.id is None, r.id or 0, r.k, r.a)
     first, count = {}, Counter()
     for r in found:
         count[r.body] += 1
@@ -156,13 +158,13 @@ def test_line_chunks_match_brute_force(spark):
     gone = defaultdict(set)
     for r in found:
         if count[r.body] > 1 and place(r) != first[r.body]:
-            gone[r.id].update(range(r.a, r.b))
+            gone[r.k].update(range(r.a, r.b))
     out = line_chunks.deduplicate_lines(df, size_col="n_chars")
     assert out.columns == df.columns
     want = []
     for i, t, _ in rows:
-        text = t if t is None or i not in gone else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i])
-        want.append((i, text))
+        mine = gone.get(number[i, t], ())
+        want.append((i, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in mine)))
     assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, want))
     assert all(r.n_chars == len(r.text or "") for r in out.collect())
     # passages go from all but one document, other lines stay

@@ -173,8 +173,9 @@ def test_pipeline_keeps_clean_documents_and_drops_planted_ones(spark, tmp_path):
     rng = random.Random(5)
     text = lambda n: "\n".join(" ".join(f"{rng.choice('bcdfg')}{rng.choice('aeiou')}w{rng.randrange(5000)}" for _ in range(12)) for _ in range(n))
     passage = text(10)
+    copied = text(8).replace("\n", " ")
     rows = [(i, text(8), "en", "s0" if i % 3 else "s1") for i in range(60)]
-    rows += [(100, rows[3][1] + " more", "en", "s0"), (101, text(4) + "\n" + passage, "en", "s1"), (102, text(4) + "\n" + passage, "en", "s1"), (103, "a$$$ b%%% " * 40, "en", "s0"), (104, None, None, None), (105, "", "en", "s0")]
+    rows += [(61, copied, "en", "s0"), (100, copied + " more", "en", "s0"), (106, rows[4][1], "en", "s0"), (101, text(4) + "\n" + passage, "en", "s1"), (102, text(4) + "\n" + passage, "en", "s1"), (103, "a$$$ b%%% " * 40, "en", "s0"), (104, None, None, None), (105, "", "en", "s0")]
     df = spark.createDataFrame([(i, t, lang, s, len(t or "")) for i, t, lang, s in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     path = str(tmp_path)
     df.write.parquet(f"{path}/documents.parquet")
@@ -184,7 +185,7 @@ def test_pipeline_keeps_clean_documents_and_drops_planted_ones(spark, tmp_path):
         assert docs.columns == df.columns, name
     out = corpus_pipeline.run(spark, path)
     kept = {r.doc_id for r in out.collect()}
-    assert set(range(60)) | {101, 102} <= kept and not kept & {100, 103, 104, 105}
+    assert set(range(60)) | {61, 101, 102} <= kept and not kept & {100, 103, 104, 105, 106}
     import sentencepiece
 
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import kernels as K
-from tideline.llm.tables import stored
+from tideline.llm.tables import near, stored
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -343,7 +343,8 @@ def similar(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold
     )
     member = stored(member.select(*_MEMBER, "id", "t"), "members")
     texts = df.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("t"))
-    read = texts.join(member.where("id is not null").drop("t"), "id").select(*_MEMBER, "t").unionByName(member.where("id is null").select(*_MEMBER, "t"))
+    named = member.where("id is not null").drop("t")
+    read = near(texts, named, ["id"])[0].join(named, "id").select(*_MEMBER, "t").unionByName(member.where("id is null").select(*_MEMBER, "t"))
     made = read.mapInArrow(_gram_sets(words), "key binary, root bigint, parts int, block int, copies bigint, grams binary")
     # an id that several rows have gives a set's text more than once
     grams = stored(made.groupBy(*_MEMBER).agg(F.first("grams").alias("grams")), "grams")
@@ -353,8 +354,8 @@ def similar(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold
         pairs.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_exact(threshold), "key binary, links bigint, rows bigint, u binary"), "exact",
     )
     final = components(exact.where("u is not null").select("u", F.col("key").alias("v")))
-    named = final.join(sets.select(F.col("key").alias("node"), "id"), "node")
-    names = named.groupBy("root").agg(F.min("id").alias("class_id"))
+    title = final.join(sets.select(F.col("key").alias("node"), "id"), "node")
+    names = title.groupBy("root").agg(F.min("id").alias("class_id"))
     links = exact.groupBy("key").agg(F.sum("links").alias("n_texts"), F.sum("rows").alias("rows"))
     classes = stored(
         sets.select("key", "id", "copies").join(final.withColumnRenamed("node", "key"), "key", "left").join(names, "root", "left").join(links, "key", "left")

@@ -14,11 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.lineage import scratch_path
-from tideline.llm.tables import spread_join, stored
+from tideline.llm.tables import near, spread_join, stored
 
 CAPACITY = 1 << 20
-#: Bits of the key cells that are sent to every task.
-CELLS = 20
 #: The directory has at most 2 ** MAX_DEPTH cells; fuller buckets chain.
 MAX_DEPTH = 16
 
@@ -83,11 +81,8 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text: str = "text", capac
     seen = stored(hashed.select("id", "h", F.sha2("t", 256).alias("sha")), "hashed")
     index = build_index(seen, capacity, max_depth)
     chains = stored(index.where("n > 1").select("h"), "chains")
-    # a cell of the key space without a chain is left out before any text moves: at most 2 ** CELLS numbers are sent round
-    cells = F.broadcast(chains.select(cell(F.col("h"), CELLS).alias("c")).distinct())
-    near = hashed.withColumn("c", cell(F.col("h"), CELLS)).join(cells, "c", "left_semi")
     # only chained rows send their bytes; equal bytes meet before the shuffle
-    chained = stored(near.join(chains, "h", "left_semi").select("id", "t", "h"), "chained")
+    chained = stored(near(hashed, chains, ["h"])[0].join(chains, "h", "left_semi").select("id", "t", "h"), "chained")
     groups = stored(chained.groupBy("h", "t").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     sure = groups.groupBy("h").agg(F.count(F.lit(1)).alias("texts"), F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size"))
     sure = stored(sure, "compared")

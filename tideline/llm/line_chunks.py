@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.tables import spread_join, stored
+from tideline.llm.tables import near, spread_join, stored
 
 WINDOW = 2
 MODULUS = 2
-SEEDS = 6
+SEEDS = 4
 MIN_LINES = 2
 
 
@@ -42,48 +42,68 @@ def chunks(hashes: Column, window: int = WINDOW, modulus: int = MODULUS, seeds:
     return F.array_distinct(F.concat(*parts))
 
 
-def occurrences(df: DataFrame, id_col: str, text: str, with_text: bool, **how: int) -> DataFrame:
-    """(id, a, b, h[, body]): every chunk of every document and a hash of its line hashes."""
-    lines = df.select(F.col(id_col).alias("id"), F.split(F.col(text).cast("string"), "\n", -1).alias("lines")).where(F.size("lines") >= how.get("min_lines", MIN_LINES))
-    hashed = lines.select("id", *(["lines"] if with_text else []), F.transform("lines", lambda x: F.xxhash64(x)).alias("hs"))
-    each = hashed.select("id", *(["lines"] if with_text else []), "hs", F.explode(chunks(F.col("hs"), **how)).alias("c"))
-    at, size = F.col("c.a") + 1, F.col("c.b") - F.col("c.a")
-    key = F.xxhash64(F.slice("hs", at, size), size)
-    body = [F.array_join(F.slice("lines", at, size), "\n").alias("body")] if with_text else []
-    return each.select("id", F.col("c.a").alias("a"), F.col("c.b").alias("b"), key.alias("h"), *body)
+def documents(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, k, lines): ``k`` numbers a document by id and text, so that null or repeated ids do not mix documents up."""
+    t = F.col(text).cast("string")
+    return df.select(F.col(id_col).alias("id"), F.xxhash64(id_col, t).alias("k"), F.split(t, "\n", -1).alias("lines"))
 
 
-def repeated(df: DataFrame, id_col: str = "doc_id", text: str = "text", **how: int) -> DataFrame:
-    """(id, a, b): line ranges to remove. The first occurrence of equal bytes, by (id, a) with null ids last, is not among them."""
-    keys = occurrences(df, id_col, text, False, **how).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+def occurrences(docs: DataFrame, **how: int) -> DataFrame:
+    """(id, k, a, b, h): every chunk of every document and a hash of its line hashes."""
+    hashed = docs.where(F.size("lines") >= how.get("min_lines", MIN_LINES)).select("id", "k", F.transform("lines", lambda x: F.xxhash64(x)).alias("hs"))
+    size = lambda c: c["b"] - c["a"]
+    keyed = F.transform(chunks(F.col("hs"), **how), lambda c: F.struct(c["a"].alias("a"), c["b"].alias("b"), F.xxhash64(F.slice("hs", c["a"] + 1, size(c)), size(c)).alias("h")))
+    return hashed.select("id", "k", F.explode(keyed).alias("c")).select("id", "k", "c.a", "c.b", "c.h")
+
+
+def bodies(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` (id, k, a, b, h) with the chunks' bytes; only documents that have a chunk in it move their text."""
+    lists = stored(found.groupBy("id", "k").agg(F.collect_set(F.struct("a", "b", "h")).alias("cs")), "chunk-lists")  # of one document
+    same = F.col("d.k") == F.col("l.k")
+    met = near(docs, lists, ["k"])[0].alias("d").join(lists.alias("l"), same & F.col("d.id").eqNullSafe(F.col("l.id")))
+    body = F.transform("l.cs", lambda c: F.struct(c["a"].alias("a"), c["b"].alias("b"), c["h"].alias("h"), F.array_join(F.slice("d.lines", c["a"] + 1, c["b"] - c["a"]), "\n").alias("body")))
+    return met.select("d.id", "d.k", F.explode(body).alias("c")).select("id", "k", "c.a", "c.b", "c.h", "c.body")
+
+
+def repeated(docs: DataFrame, **how: int) -> DataFrame:
+    """(id, k, a, b): line ranges to remove. The first occurrence of equal bytes, by (id, k, a) with null ids last, is not among them."""
+    keys = occurrences(docs, **how).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     keys = stored(keys, "chunk-keys")
-    found = stored(occurrences(df, id_col, text, True, **how).join(keys, "h", "left_semi"), "chunks")
+    some = near(occurrences(docs, **how), keys, ["h"])[0].join(keys, "h", "left_semi")
+    found = stored(bodies(docs, some), "chunks")
     # equal bytes meet before the shuffle; hashes that collide part here
-    place = F.struct(F.col("id").isNull().alias("z"), "id", "a")
+    place = F.struct(F.col("id").isNull().alias("z"), "id", "k", "a")
     first = stored(found.groupBy("h", "body").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "body", "first"), "chunk-firsts")
-    joined = spread_join(found, first, ["h", "body"], ["id", "a"])
-    return joined.where(place != F.col("first")).select("id", "a", "b")
+    joined = spread_join(found, first, ["h", "body"], ["k", "a"])
+    return joined.where(place != F.col("first")).select("id", "k", "a", "b")
 
 
 def deduplicate_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", size_col: str | None = None, marks: bool = False, **how: int) -> DataFrame:
     """``df`` with repeated chunks removed from ``text``; ``size_col``, if given, becomes the new text's length. All columns stay.
 
     With ``marks`` the columns ``_removed`` (line numbers) and ``_lines`` (lines there were) are added. Null and one-line texts stay as they are; a text
-    wholly removed becomes empty. Rows repeated with the same id are one document: they change alike and their common first occurrence
-    stays in each. Rows with null ids never hold the first occurrence while a row with an id has the chunk. An empty table stays empty.
+    wholly removed becomes empty. Rows with the same id and text are one document and change alike. Documents with null ids never hold the first
+    occurrence while one with an id has the chunk. An empty table stays empty.
     """
-    gone = repeated(df, id_col, text, **how)
-    lines = gone.select("id", F.explode(F.sequence(F.col("a"), F.col("b") - 1)).alias("i")).groupBy("id").agg(F.collect_set("i").alias("gone"))
-    lines = stored(lines, "removed").withColumnRenamed("id", "_id")
-    row = df.select(F.struct("*").alias("r"))
-    joined = row.join(lines, F.col(f"r.{id_col}").eqNullSafe(F.col("_id")), "left")
+    gone = repeated(documents(df, id_col, text), **how)
+    lines = gone.select("id", "k", F.explode(F.sequence(F.col("a"), F.col("b") - 1)).alias("i")).groupBy("id", "k").agg(F.collect_set("i").alias("gone"))
+    lines = stored(lines, "removed")
+    row = df.select(F.struct("*").alias("r"), F.xxhash64(id_col, F.col(text).cast("string")).alias("k"))
+    touched, rest = near(row, lines, ["k"])
+    met = touched.alias("d").join(lines.alias("l"), (F.col("d.k") == F.col("l.k")) & F.col(f"d.r.{id_col}").eqNullSafe(F.col("l.id")), "left").select("d.r", "l.gone")
+    out = met.unionByName(rest.select("r", F.lit(None).cast("array<int>").alias("gone")))
     split = F.split(F.col(f"r.{text}"), "\n", -1)
     left = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("gone", i)), "\n")
     new = F.when(F.col("gone").isNull(), F.col(f"r.{text}")).otherwise(left)
     cols = []
     for c in df.columns:
         kind = df.schema[c].dataType
-        cols.append(new.cast(kind).alias(c) if c == text else F.when(F.col("gone").isNull(), F.col(f"r.{c}")).otherwise(F.length(new)).cast(kind).alias(c) if c == size_col else F.col(f"r.{c}").alias(c))
+        if c == text:
+            cols.append(new.cast(kind).alias(c))
+        elif c == size_col:
+            cols.append(F.when(F.col("gone").isNull(), F.col(f"r.{c}")).otherwise(F.length(new)).cast(kind).alias(c))
+        else:
+            cols.append(F.col(f"r.{c}").alias(c))
     if marks:
         cols += [F.coalesce(F.array_sort("gone"), F.expr("array()").cast("array<int>")).alias("_removed"), F.coalesce(F.size(split), F.lit(0)).alias("_lines")]
-    return joined.select(*cols)
+    return out.select(*cols)

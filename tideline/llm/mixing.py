@@ -97,9 +97,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str =
 
 
 def mixed(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """The rows of ``df``, all columns, each as often as ``mix`` says."""
+    """The rows of ``df``, all columns, each as often as ``mix`` says; rows with the same id and source alike."""
     copies = mix(df, id_col, text, source, **how).groupBy(F.col(id_col).alias("_id"), F.col("source").alias("_source")).agg(F.max("copies").alias("_copies"))
-    copies = stored(copies.where("_copies > 0"), "mix-copies")
+    copies = stored(copies, "mix-copies")
     row = df.select(F.struct("*").alias("r"))
-    joined = row.join(copies, F.col(f"r.{id_col}").eqNullSafe(F.col("_id")) & F.col(f"r.{source}").cast("string").eqNullSafe(F.col("_source")))
+    joined = row.join(copies.where("_copies > 0"), F.col(f"r.{id_col}").eqNullSafe(F.col("_id")) & F.col(f"r.{source}").cast("string").eqNullSafe(F.col("_source")))
     return joined.select("r", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("r.*")

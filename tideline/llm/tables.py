@@ -28,6 +28,22 @@ def hot_keys(df: DataFrame, keys: list[str], counts: DataFrame | None = None) ->
     return counts.where(F.col("_n") > share).select(*keys, F.ceil(F.col("_n") / share).cast("int").alias("_parts"))
 
 
+#: Bits of the cells that ``near`` sends to every task: at most 2 ** CELLS numbers.
+CELLS = 20
+
+
+def near(df: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``df`` parted into rows that may have a match in ``keys`` and rows that cannot, before wide rows are moved.
+
+    Both carry all columns of ``df``. Rows may match where a key's hash cell does; the more keys there are, the more rows pass, all of them
+    at worst, and the join that follows is exact either way.
+    """
+    cell = F.pmod(F.xxhash64(*on), F.lit(1 << CELLS)).cast("int")
+    cells = F.broadcast(keys.select(cell.alias("_cell")).distinct().withColumn("_met", F.lit(True)))
+    marked = df.withColumn("_cell", cell).join(cells, "_cell", "left").drop("_cell")
+    return marked.where("_met").drop("_met"), marked.where("_met is null").drop("_met")
+
+
 def spread_join(big: DataFrame, small: DataFrame, keys: list[str], spread: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """Equi-join of ``big`` with ``small`` (few rows per key) in which hot keys of ``big`` are salted by ``spread``.
 
