@@ -296,8 +296,8 @@ def validate_aoi(df: DataFrame, key: str = "aoi_id", pairs: str = "vertices", cl
     base = base.withColumn(
         "_shape",
         F.when(F.col("ring").isNull(), None)
-        .when(F.abs(lines.signed_area(shape)) <= 0, F.lit("no_area"))
-        .when(lines.self_crosses(shape), F.lit("self_intersection")),
+        .when(lines.self_crosses(shape), F.lit("self_intersection"))
+        .when(F.abs(lines.signed_area(shape)) <= 0, F.lit("no_area")),
     )
     centre = lines.centroid(shape)
     base = base.withColumn("_centre", F.when(F.col("ring").isNotNull(), centre))

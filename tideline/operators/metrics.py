@@ -78,7 +78,7 @@ def _as_points(mask: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def boundary_metrics(pred: DataFrame, truth: DataFrame, keys: Sequence[str], start: float = 4.0) -> DataFrame:
-    """ASSD and HD95 between two pixel sets; samples where either is empty drop (NULL for the caller)."""
+    """ASSD and HD95 between two pixel sets; both are NULL for a sample where either set is empty."""
     keys = list(keys)
     p, t = _as_points(pred, keys), _as_points(truth, keys)
     sides = []
@@ -87,21 +87,23 @@ def boundary_metrics(pred: DataFrame, truth: DataFrame, keys: Sequence[str], sta
         mean = d.groupBy(*keys).agg(F.avg("distance").alias(f"_mean_{name}"))
         far = exact_quantiles(d, keys, "distance", [0.95], [f"_far_{name}"])
         sides.append(mean.join(far, keys))
-    return sides[0].join(sides[1], keys).select(
+    every = pred.select(*keys).unionByName(truth.select(*keys)).distinct()
+    return every.join(sides[0].join(sides[1], keys), keys, "left").select(
         *keys, ((F.col("_mean_p") + F.col("_mean_t")) / 2).alias("assd"), F.greatest("_far_p", "_far_t").alias("hd95")
     )
 
 
 def transect_error(pixels: DataFrame, prob: str, truth: str, keys: Sequence[str]) -> DataFrame:
-    """MAE and RMSE of the row of the first maximum per column; columns without truth do not count."""
+    """MAE and RMSE of the row of the first maximum per column; columns without truth do not count, and a sample without any gets NULL."""
     has = pixels.groupBy(*keys, "col").agg(F.max(F.col(truth).cast("int")).alias("_any")).filter(F.col("_any") > 0)
     t = argmax_line(pixels.withColumn("_t", F.col(truth).cast("int")), "_t", keys).withColumnRenamed("row", "_tr")
     p = argmax_line(pixels, prob, keys).withColumnRenamed("row", "_pr")
     err = F.abs(F.col("_tr") - F.col("_pr"))
-    return (
+    found = (
         has.join(t, [*keys, "col"]).join(p, [*keys, "col"]).groupBy(*keys)
         .agg(F.avg(err).alias("transect_mae"), F.sqrt(F.avg(err * err)).alias("transect_rmse"), F.count("*").alias("n_columns"))
     )
+    return pixels.select(*keys).distinct().join(found, list(keys), "left").withColumn("n_columns", F.coalesce("n_columns", F.lit(0)))
 
 
 def ensemble_summary(samples: DataFrame, value: str, keys: Sequence[str], threshold: float = 0.5) -> DataFrame:

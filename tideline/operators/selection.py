@@ -105,9 +105,9 @@ def distinct_ids(df: DataFrame, col: str) -> DataFrame:
 
 
 def lookback(df: DataFrame, days: int, keys: Sequence[str] = ("aoi_id",), ts: str = "datetime", now: Column | None = None) -> DataFrame:
-    """Rows of the last ``days`` before the AOI's latest row (or ``now``); everything where none is left."""
+    """Rows of the last ``days`` before ``now`` (the time of the run if not given); everything of an AOI where none is left."""
     ends = df.groupBy(*keys).agg(F.max(ts).alias("_end"))
-    since = (now if now is not None else F.col("_end")) - F.expr(f"INTERVAL {int(days)} DAYS")
+    since = (now if now is not None else F.current_timestamp()) - F.expr(f"INTERVAL {int(days)} DAYS")
     marks = ends.withColumn("_since", since).withColumn("_none", F.col("_end") < F.col("_since")).drop("_end")
     spread = [c for c in df.columns if c not in keys][:2]
     return salted_join(df, marks, keys, spread=spread).filter(F.col("_none") | (F.col(ts) >= F.col("_since"))).drop("_since", "_none")
@@ -133,16 +133,18 @@ def least_cloud(scenes: DataFrame, requests: DataFrame, hours: int = 12) -> Data
 
 
 def latest_run(runs: DataFrame, aois: DataFrame, artifacts: Sequence[str]) -> DataFrame:
-    """Newest run per AOI that has every artifact, by AOI id or by a name that starts with it."""
+    """Newest run per AOI that has every artifact, by AOI id or by a name that starts with it and an underscore."""
     whole = F.lit(True)
     for a in artifacts:
         whole = whole & F.coalesce(F.col(a), F.lit(False))
     ready = runs.filter(whole)
     own = ready.filter(F.col("aoi_id").isNotNull())
-    # a run without an AOI belongs to the AOI its name starts with
+    # a run without an AOI belongs to the AOI its name starts with, up to one of its underscores
     names = aois.select(F.col("aoi_id").alias("_aoi"))
     loose = ready.filter(F.col("aoi_id").isNull())
-    prefixes = loose.withColumn("_p", F.explode(F.transform(F.sequence(F.lit(1), F.length("run_id")), lambda n: F.left("run_id", n))))
+    parts = F.split("run_id", "_")
+    heads = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "_"))
+    prefixes = loose.filter(F.contains("run_id", F.lit("_"))).withColumn("_p", F.explode(heads))
     matched = prefixes.join(names, F.col("_p") == F.col("_aoi")).withColumn("aoi_id", F.col("_aoi")).drop("_p", "_aoi")
     both = own.join(aois.select("aoi_id"), "aoi_id", "left_semi").unionByName(matched)
     return best_per_key(both, ["aoi_id"], [F.col("generated_at"), F.col("run_id")])
@@ -154,14 +156,16 @@ def waterline_history(
     """Observed waterlines since the cutoff plus the latest state line, longest per time, ascending.
 
     ``lines``: ``aoi_id, run_id, datetime, length, …``; a line without an AOI counts for the
-    AOI its run is named after. The state line is always in; without a time it counts as now.
+    AOIs whose ids its run's name contains, case and all. The state line is always in; without a time it counts as now.
     """
-    names = latest.select(*keys).distinct().withColumn("_aoi", F.lower(F.col("aoi_id").cast("string")))
+    names = latest.select(*keys).distinct().withColumn("_aoi", F.col("aoi_id").cast("string"))
     own = lines.filter(F.col("aoi_id").isNotNull()).join(names.select(*keys), list(keys), "left_semi")
-    words = F.explode(F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(1), F.length("run_id")), lambda i: F.transform(F.sequence(F.lit(1), F.length("run_id") - i + 1), lambda n: F.lower(F.substr("run_id", i, n)))
-    ))))
-    loose = lines.filter(F.col("aoi_id").isNull()).drop("aoi_id").withColumn("_aoi", words).join(names, "_aoi").drop("_aoi")
+    # only words as long as some id are looked up; there are few lengths, however many ids
+    lengths = sorted(r[0] for r in names.select(F.length("_aoi")).distinct().collect())
+    words = F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, lengths)), lambda n: F.when(
+        F.length("run_id") >= n, F.transform(F.sequence(F.lit(1), F.length("run_id") - n + 1), lambda i: F.substr("run_id", i, n))
+    ).otherwise(F.array().cast("array<string>"))))) if lengths else F.array().cast("array<string>")
+    loose = lines.filter(F.col("aoi_id").isNull()).drop("aoi_id").withColumn("_aoi", F.explode(words)).join(names, "_aoi").drop("_aoi")
     seen = own.unionByName(loose, allowMissingColumns=True).filter(
         (F.col("length") > 0) & (F.col("datetime") >= now - F.expr(f"INTERVAL {int(days)} DAYS"))
     )

@@ -50,7 +50,8 @@ def ordered_neighbours(
 
     ``chunk`` is a non-decreasing function of ``order``; sorting happens inside one
     (key, chunk) only. Rows at a chunk border take the missing neighbours from a small
-    per-chunk summary holding at most ``max(before, after)`` rows of each end.
+    per-chunk summary holding at most ``max(before, after)`` rows of each end. Rows without a
+    place in the order (``chunk`` is NULL) have no neighbours and are left out.
     """
     reach = max(before, after)
     part = [*keys, "_chunk"]
@@ -90,7 +91,7 @@ def nth(array: Column | str, index: int, field: str) -> Column:
 def running_sum(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, value: Column, out: str
 ) -> DataFrame:
-    """Inclusive prefix sum of ``value`` per key, computed chunk by chunk."""
+    """Inclusive prefix sum of ``value`` per key, computed chunk by chunk; rows whose ``chunk`` is NULL are left out."""
     part = [*keys, "_chunk"]
     rows = df.withColumn("_chunk", chunk).filter("_chunk IS NOT NULL").withColumn("_v", value)
     w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -15,8 +15,11 @@ from tideline.operators.skew import exact_quantiles, salted_join
 SCENE = ["aoi_id", "scene_id"]
 BANDWIDTH = 0.01
 GRID = 1000
-# A scene with more distinct values than this is counted on a lattice of as many steps.
-DISTINCT_LIMIT = 20000
+# Distinct values that one task weighs at a time; more of a key are dealt to more tasks.
+PART_VALUES = 20000
+# Bins of the per-class density and the falling prominences its peaks may have.
+CLASS_BINS = np.arange(-1.0, 1.0, 0.01)
+RUNGS = [0.5 - 0.05 * i for i in range(10)]
 
 
 def find_peaks(y: np.ndarray, prominence: float) -> tuple[np.ndarray, np.ndarray]:
@@ -39,71 +42,76 @@ def find_peaks(y: np.ndarray, prominence: float) -> tuple[np.ndarray, np.ndarray
     return np.array(peaks, dtype=int), np.array(sizes, dtype=float)
 
 
-def log_density(values: np.ndarray, counts: np.ndarray, grid: np.ndarray, h: float = BANDWIDTH) -> np.ndarray:
-    """Log of the Gaussian kernel density of weighted values on a grid, far tails included."""
-    out = np.empty(len(grid))
+def kernel_parts(values: np.ndarray, counts: np.ndarray, grid: np.ndarray, h: float = BANDWIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Per grid point the largest exponent of the weighted Gaussian kernels and the kernels' sum relative to it."""
+    top, total = np.empty(len(grid)), np.empty(len(grid))
     logc = np.log(counts)
     for s in range(0, len(grid), 50):
         e = logc[None, :] - (grid[s : s + 50, None] - values[None, :]) ** 2 / (2 * h * h)
-        m = e.max(axis=1)
-        out[s : s + 50] = m + np.log(np.exp(e - m[:, None]).sum(axis=1))
-    return out - np.log(counts.sum() * h * np.sqrt(2 * np.pi))
+        top[s : s + 50] = e.max(axis=1)
+        total[s : s + 50] = np.exp(e - top[s : s + 50, None]).sum(axis=1)
+    return top, total
 
 
-def two_peaks(values: np.ndarray, counts: np.ndarray, prominence: float) -> float | None:
-    """``0.2*low + 0.8*high`` of the two most prominent modes of the log density."""
-    grid = np.linspace(values.min(), values.max(), GRID)
-    peaks, sizes = find_peaks(log_density(values, counts, grid), prominence)
+def density_curves(df: DataFrame, keys: Sequence[str], value: str, fixed: bool = False) -> DataFrame:
+    """Per key the exact log density of ``value`` on ``GRID`` points of its range (or on ``CLASS_BINS``).
+
+    Equal values are counted first; a key's distinct values are dealt to parts by hash, every part gives one
+    (largest exponent, sum) pair a grid point, and the pairs are joined by log-sum-exp. Columns: keys, ``_lo``, ``_hi``, ``_y`` (the curve).
+    """
+    keys = list(keys)
+    counts = cut(df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n")))
+    span = cut(
+        counts.groupBy(*keys).agg(F.count("*").alias("_d"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_all"))
+        .withColumn("_parts", F.ceil(F.col("_d") / PART_VALUES).cast("int"))
+    )
+    placed = salted_join(counts, span.drop("_d", "_all"), keys, spread=["_v"]).withColumn("_part", F.pmod(F.xxhash64("_v"), F.col("_parts")).cast("int"))
+
+    def weigh(pdf: pd.DataFrame) -> pd.DataFrame:
+        grid = CLASS_BINS if fixed else np.linspace(pdf["_lo"].iloc[0], pdf["_hi"].iloc[0], GRID)
+        top, total = kernel_parts(pdf["_v"].to_numpy(float), pdf["_n"].to_numpy(float), grid)
+        out = pd.DataFrame({"_g": np.arange(len(grid)), "_m": top, "_s": total})
+        for k in reversed(keys):
+            out.insert(0, k, pdf[k].iloc[0])
+        return out
+
+    schema = ", ".join(f"`{k}` {placed.schema[k].dataType.simpleString()}" for k in keys) + ", _g int, _m double, _s double"
+    pairs = cut(placed.groupBy(*keys, "_part").applyInPandas(weigh, schema))
+    peak = pairs.groupBy(*keys, "_g").agg(F.max("_m").alias("_top"))
+    joined = pairs.join(peak, [*keys, "_g"]).groupBy(*keys, "_g", "_top").agg(F.sum(F.col("_s") * F.exp(F.col("_m") - F.col("_top"))).alias("_sum"))
+    rows = joined.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_g", (F.col("_top") + F.log("_sum")).alias("_y")))).alias("_c"))
+    norm = F.log(F.col("_all") * F.lit(BANDWIDTH * float(np.sqrt(2 * np.pi))))
+    return rows.join(span, keys).select(*keys, "_lo", "_hi", F.transform("_c", lambda c: c["_y"] - norm).alias("_y"))
+
+
+def two_peaks(y: np.ndarray, lo: float, hi: float, prominence: float) -> float | None:
+    """``0.2*low + 0.8*high`` of the two most prominent modes of a log density between ``lo`` and ``hi``."""
+    peaks, sizes = find_peaks(y, prominence)
     if len(peaks) < 2:
         return None
-    low, high = np.sort(grid[peaks[np.argsort(sizes, kind="stable")[-2:]]])
+    low, high = np.sort(np.linspace(lo, hi, GRID)[peaks[np.argsort(sizes, kind="stable")[-2:]]])
     return float(0.2 * low + 0.8 * high)
 
 
-def class_peak(values: np.ndarray, counts: np.ndarray, first: bool) -> float:
-    """Mode of one class on bins -1, -0.99, … 0.99 (see ``class_peaks``)."""
-    bins = np.arange(-1.0, 1.0, 0.01)
-    density = np.exp(log_density(values, counts, bins))
-    if first:
-        return float(bins[int(np.argmax(density))])
-    prominence = 0.5
-    peaks, _ = find_peaks(density, prominence)
-    while len(peaks) == 0 and prominence > 0.05:
-        prominence -= 0.05
-        peaks, _ = find_peaks(density, prominence)
-    if len(peaks) == 0:
-        return float(bins[int(np.argmax(density))])
-    found = bins[peaks]
-    return float(found.max()) if (found < 0).any() else float(found[0])
-
-
-def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Per key a bounded list of (value, count).
-
-    Values stay exact up to ``DISTINCT_LIMIT`` distinct ones per key; beyond that they are
-    counted on a lattice of that many steps over the key's range (a twentieth of a density
-    grid step), so one key's list never grows with its pixels.
+def highest_rung(y: np.ndarray) -> float:
+    """Mode of a class on ``CLASS_BINS``: of the peaks at or above the highest rung that any peak reaches, the last if any is negative, else the first.
+
+    A curve whose peaks reach no rung gives its largest bin.
     """
-    keys = list(keys)
-    counts = cut(df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n")))
-    span = counts.groupBy(*keys).agg(F.count("*").alias("_d"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    step = (F.col("_hi") - F.col("_lo")) / DISTINCT_LIMIT
-    rounded = F.col("_lo") + F.rint((F.col("_v") - F.col("_lo")) / step) * step
-    placed = salted_join(counts, span, keys, spread=["_v"]).withColumn(
-        "_v", F.when(F.col("_d") > DISTINCT_LIMIT, rounded).otherwise(F.col("_v"))
-    )
-    merged = placed.groupBy(*keys, "_v").agg(F.sum("_n").alias("_n"))
-    pairs = F.sort_array(F.collect_list(F.struct("_v", "_n")))
-    return merged.groupBy(*keys).agg(pairs.alias("_pairs")).select(
-        *keys, F.transform("_pairs", lambda p: p["_v"]).alias("_values"), F.transform("_pairs", lambda p: p["_n"].cast("double")).alias("_counts")
-    )
+    density = np.exp(y)
+    peaks, sizes = find_peaks(density, 0.0)
+    reached = [r for r in RUNGS if len(sizes) and sizes.max() >= r - 1e-12]
+    if not reached:
+        return float(CLASS_BINS[np.argmax(density)])
+    at = CLASS_BINS[peaks[sizes >= reached[0] - 1e-12]]
+    return float(at[-1] if at[0] < 0 else at[0])
 
 
 def _curve_udf(fn):
     @F.pandas_udf("double")
-    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for values, counts in parts:
-            yield pd.Series([fn(np.asarray(v, dtype=float), np.asarray(c, dtype=float)) for v, c in zip(values, counts, strict=True)], dtype="float64")
+    def run(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for curves, lows, highs in parts:
+            yield pd.Series([fn(np.asarray(y, dtype=float), lo, hi) for y, lo, hi in zip(curves, lows, highs, strict=True)], dtype="float64")
 
     return run
 
@@ -125,10 +133,10 @@ def weighted_peaks(
         F.avg(F.when(in_a, F.col(value))).alias("_ma"), F.avg(F.when(in_b, F.col(value))).alias("_mb"),
     )
     enough = (F.col("n_a") >= min_class) & (F.col("n_b") >= min_class) & (F.col("n_a") + F.col("n_b") >= min_total)
-    peak = _curve_udf(lambda v, c: two_peaks(v, c, prominence))
+    peak = _curve_udf(lambda y, lo, hi: two_peaks(y, lo, hi, prominence))
     stats = cut(stats)
     ready = salted_join(rows, stats.filter(enough).select(*keys), keys, spread=[value])
-    modes = value_counts(ready, keys, value).select(*keys, peak("_values", "_counts").alias("_peak"))
+    modes = density_curves(ready, keys, value).select(*keys, peak("_y", "_lo", "_hi").alias("_peak"))
     middle = F.when((F.col("n_a") == 0) | (F.col("n_b") == 0), 0.0).otherwise((F.col("_ma") + F.col("_mb")) / 2)
     return stats.join(modes, keys, "left").select(
         *keys, "n_a", "n_b", F.coalesce(F.nanvl("_peak", F.lit(None)), middle).alias("threshold")
@@ -150,10 +158,10 @@ def class_peaks(df: DataFrame, value: str, cls: str, a: int, b: int, keys: Seque
         F.coalesce(F.max(F.when(F.col(cls) == b, F.col("_n"))), F.lit(0)).alias("n_b"),
     )
     med = exact_quantiles(rows, [*keys, cls], value, [0.5], ["_med"])
-    lists = value_counts(rows, [*keys, cls], value)
-    one, two = _curve_udf(lambda v, c: class_peak(v, c, True)), _curve_udf(lambda v, c: class_peak(v, c, False))
-    first = lists.filter(F.col(cls) == a).select(*keys, one("_values", "_counts").alias("_pa"))
-    second = lists.filter(F.col(cls) == b).select(*keys, two("_values", "_counts").alias("_pb"))
+    curves = density_curves(rows, [*keys, cls], value, fixed=True)
+    one, two = _curve_udf(lambda y, lo, hi: CLASS_BINS[np.argmax(y)]), _curve_udf(lambda y, lo, hi: highest_rung(y))
+    first = curves.filter(F.col(cls) == a).select(*keys, one("_y", "_lo", "_hi").alias("_pa"))
+    second = curves.filter(F.col(cls) == b).select(*keys, two("_y", "_lo", "_hi").alias("_pb"))
     pick = lambda c, name: med.filter(F.col(cls) == c).select(*keys, F.col("_med").alias(name))
     out = n
     for part in (first, second, pick(a, "_ma"), pick(b, "_mb")):

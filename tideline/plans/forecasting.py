@@ -17,15 +17,14 @@ def forecast_distances(obs: DataFrame, horizon: int, seq_len: int = 10, split_da
     """Distance forecast of every transect with the best model the data allows.
 
     Eligible transects get the learned model when enough samples exist, else persistence;
-    transects too short to be modelled, or data without any window, get drift. Returns the
-    forecast and one metrics row.
+    data without any window get drift. Transects too short to be modelled have no rows beside
+    modelled ones. Returns the forecast and one metrics row.
     """
     daily = cut(series.daily_series(obs))
     ok = series.eligible(daily, seq_len).filter("modelled").select(*series.TRANSECT)
     body = daily.join(ok, series.TRANSECT, "left_semi")
     seqs = cut(series.split(series.sequences(body, seq_len), split_date))
     n_train, n_val = seqs.agg(F.count_if(F.col("part") == "train"), F.count_if(F.col("part") == "val")).first()
-    short = daily.join(ok, series.TRANSECT, "left_anti")
     counts = daily.sparkSession.createDataFrame([(int(n_train), int(n_val))], "train_samples bigint, val_samples bigint")
     metrics = series.choose_model(counts)
     pairs = {"rmse_ve_m": ("ve", "pred_ve"), "rmse_wl_m": ("wl", "pred_wl")}
@@ -45,8 +44,7 @@ def forecast_distances(obs: DataFrame, horizon: int, seq_len: int = 10, split_da
         scored = series.rmse(pred, pairs)
         rolled = series.rollout(body, model, scaler, seq_len, horizon)
     row = scored.first()
-    out = rolled.unionByName(series.drift_forecast(short, horizon))
-    return out, metrics.withColumns({n: F.lit(row[n]).cast("double") for n in pairs})
+    return rolled, metrics.withColumns({n: F.lit(row[n]).cast("double") for n in pairs})
 
 
 def forecast_shapes(
@@ -75,17 +73,17 @@ def forecast_shapes(
 
 def predict(
     obs: DataFrame, lines: DataFrame, boxes: DataFrame, transects: DataFrame, years: float, mode: str = "auto", lookback_days: int = 730,
-    seq_len: int = 10, k: int = 5, n_points: int = 256, areas: Sequence[str] = ("aoi_id",),
+    seq_len: int = 10, k: int = 5, n_points: int = 256, areas: Sequence[str] = ("aoi_id",), now: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Forecast lines per AOI from the state: shape forecast first, distances as fallback.
 
     ``mode``: ``auto`` falls back for AOIs without a line history, ``shape`` makes that an
-    error. Returns vertices ``aoi_id, datetime, seq, x, y, model_type`` and one status row
+    error. The lookback counts from ``now`` (the time of the run if not given). Returns vertices ``aoi_id, datetime, seq, x, y, model_type`` and one status row
     per AOI. Transects and lines share one coordinate system.
     """
     days = max(1, int(round(years * 365.25)))
     steps = max(1, -(-days // 30))
-    recent = cut(selection.lookback(lines, lookback_days))
+    recent = cut(selection.lookback(lines, lookback_days, now=now))
     everyone = boxes.select("aoi_id").distinct()
     shaped = cut(recent.groupBy("aoi_id", "datetime").agg(F.count("*").alias("_n")).filter("_n >= 2").select("aoi_id").distinct())
     missing = cut(everyone.join(shaped, "aoi_id", "left_anti"))
@@ -96,7 +94,7 @@ def predict(
     if missing.isEmpty():
         out = by_shape
     else:
-        rows = selection.lookback(obs.join(missing, "aoi_id", "left_semi"), lookback_days)
+        rows = selection.lookback(obs.join(missing, "aoi_id", "left_semi"), lookback_days, now=now)
         forecast, _ = forecast_distances(rows, days, seq_len)
         last = forecast.groupBy("aoi_id").agg(F.max("date").alias("date"))
         final = forecast.join(last, ["aoi_id", "date"], "left_semi")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.scoring import score_with
+from tideline.functions.text_time import scene_seed
 from tideline.lineage import cut
 from tideline.operators import components, contours, geometry, labels, profiles, raster, spatial, thresholds
 from tideline.operators.skew import salted_join
@@ -75,7 +76,8 @@ def label_edges(
         wide, wide_sampling = masks(held, 3.0)
         mask = cut(mask.join(missing, SCENE, "left_anti").unionByName(wide).unionByName(free))
         values = cut(values.unionByName(class_values(wide_sampling.unionByName(free))))
-    balanced = cut(thresholds.balance(values, "cls", seed))
+    own_seed = scene_seed(F.col("aoi_id").cast("string"), F.col("scene_id").cast("string")) + seed
+    balanced = cut(thresholds.balance(values, "cls", own_seed))
     level = cut(thresholds.class_peaks(balanced, "ndvi", "cls", 1, 2))
     frame = scenes.select(*SCENE, *GEO, "height", "width")
 

@@ -67,7 +67,7 @@ def horizon_columns(spark, sf):
   da AS (SELECT a.scene_id, a.row, a.col, min(sqrt(pow(a.row - b.row, 2) + pow(a.col - b.col, 2))) AS d FROM a JOIN b USING (scene_id) GROUP BY ALL),
   db AS (SELECT b.scene_id, b.row, b.col, min(sqrt(pow(a.row - b.row, 2) + pow(a.col - b.col, 2))) AS d FROM b JOIN a USING (scene_id) GROUP BY ALL),
   ma AS (SELECT scene_id, avg(d) AS m, quantile_cont(d, 0.95) AS q FROM da GROUP BY 1), mb AS (SELECT scene_id, avg(d) AS m, quantile_cont(d, 0.95) AS q FROM db GROUP BY 1)
-  SELECT scene_id, {s6('(ma.m + mb.m) / 2')} AS assd, {s6('greatest(ma.q, mb.q)')} AS hd95 FROM ma JOIN mb USING (scene_id)""")
+  SELECT scene_id, {s6('(ma.m + mb.m) / 2')} AS assd, {s6('greatest(ma.q, mb.q)')} AS hd95 FROM (SELECT scene_id FROM a UNION SELECT scene_id FROM b) s LEFT JOIN (ma JOIN mb USING (scene_id)) USING (scene_id)""")
 def boundary_distances(spark, sf):
     d = indexed(spark, sf)
     b = metrics.boundary_metrics(d.filter("ndvi >= 0.75"), d.filter("mndwi > 0.7"), KEYS)
@@ -75,7 +75,7 @@ def boundary_distances(spark, sf):
 
 
 @query("transect_errors", f"""WITH {IDX}, c AS (SELECT scene_id, col, max(({TRUTH})::INT) AS any_t, arg_min(row, (-({TRUTH})::INT, row)) AS tr, arg_min(row, (-b08, row)) AS pr FROM idx WHERE b08 IS NOT NULL GROUP BY ALL)
-  SELECT scene_id, {s6('avg(abs(tr - pr))')} AS transect_mae, {s6('sqrt(avg(pow(tr - pr, 2)))')} AS transect_rmse, count(*) AS n_columns FROM c WHERE any_t > 0 GROUP BY 1""")
+  SELECT scene_id, {s6('avg(abs(tr - pr))')} AS transect_mae, {s6('sqrt(avg(pow(tr - pr, 2)))')} AS transect_rmse, count(tr) AS n_columns FROM (SELECT scene_id, CASE WHEN any_t > 0 THEN tr END AS tr, CASE WHEN any_t > 0 THEN pr END AS pr FROM c) GROUP BY 1""")
 def transect_errors(spark, sf):
     d = indexed(spark, sf).filter("b08 IS NOT NULL").withColumn("t", F.coalesce(F.col("mndwi") > 0, F.lit(False)))
     e = metrics.transect_error(d, "b08", "t", KEYS)

@@ -95,7 +95,7 @@ def newest_sources(spark, sf):
 RUNS = "runs AS (SELECT o_orderkey AS run_no, CASE WHEN o_orderkey % 3 <> 0 THEN 'aoi' || o_custkey END AS aoi_id, 'aoi' || o_custkey || '_' || o_orderkey AS run_id, o_orderdate AS generated_at, o_orderstatus <> 'P' AS has_series, o_totalprice > 100000 AS has_lines FROM orders), aois AS (SELECT 'aoi' || c_custkey AS aoi_id FROM customer)"
 
 
-@query("latest_runs", f"WITH {RUNS}, m AS (SELECT aois.aoi_id, run_id, generated_at FROM runs JOIN aois ON runs.aoi_id = aois.aoi_id OR (runs.aoi_id IS NULL AND starts_with(run_id, aois.aoi_id)) WHERE has_series AND has_lines) SELECT aoi_id, arg_max(run_id, (generated_at, run_id)) AS run_id FROM m GROUP BY 1")
+@query("latest_runs", f"WITH {RUNS}, m AS (SELECT aois.aoi_id, run_id, generated_at FROM runs JOIN aois ON runs.aoi_id = aois.aoi_id OR (runs.aoi_id IS NULL AND starts_with(run_id, aois.aoi_id || '_')) WHERE has_series AND has_lines) SELECT aoi_id, arg_max(run_id, (generated_at, run_id)) AS run_id FROM m GROUP BY 1")
 def latest_runs(spark, sf):
     o = p.table(spark, sf, "orders")
     name = F.concat(F.lit("aoi"), F.col("o_custkey").cast("string"))
@@ -107,15 +107,15 @@ def latest_runs(spark, sf):
     return selection.latest_run(runs, aois, ["has_series", "has_lines"]).select("aoi_id", "run_id")
 
 
-@query("waterline_history", """WITH l AS (SELECT CASE WHEN o_orderkey % 4 <> 0 THEN 'n' || c_nationkey || 'x' END AS aoi_id, 'run_N' || c_nationkey || 'X_' || o_orderkey AS run_id, o_orderdate AS datetime, floor(o_totalprice) - 100000 AS length FROM orders JOIN customer ON c_custkey = o_custkey),
-  a AS (SELECT DISTINCT 'n' || n_nationkey || 'x' AS aoi_id, n_nationkey FROM nation), m AS (SELECT coalesce(l.aoi_id, a.aoi_id) AS aoi_id, run_id, datetime, length FROM l JOIN a ON a.aoi_id = l.aoi_id OR (l.aoi_id IS NULL AND contains(lower(run_id), a.aoi_id)) WHERE length > 0 AND datetime >= TIMESTAMP '2001-01-01' - INTERVAL 730 DAY
+@query("waterline_history", """WITH l AS (SELECT CASE WHEN o_orderkey % 4 <> 0 THEN 'n' || c_nationkey || 'x' END AS aoi_id, 'run_' || CASE WHEN o_orderkey % 8 = 0 THEN 'N' ELSE 'n' END || c_nationkey || 'x_' || o_orderkey AS run_id, o_orderdate AS datetime, floor(o_totalprice) - 100000 AS length FROM orders JOIN customer ON c_custkey = o_custkey),
+  a AS (SELECT DISTINCT 'n' || n_nationkey || 'x' AS aoi_id, n_nationkey FROM nation), m AS (SELECT coalesce(l.aoi_id, a.aoi_id) AS aoi_id, run_id, datetime, length FROM l JOIN a ON a.aoi_id = l.aoi_id OR (l.aoi_id IS NULL AND contains(run_id, a.aoi_id)) WHERE length > 0 AND datetime >= TIMESTAMP '2001-01-01' - INTERVAL 730 DAY
     UNION ALL SELECT aoi_id, NULL, CASE WHEN n_nationkey % 2 = 0 THEN TIMESTAMP '1996-05-05' ELSE TIMESTAMP '2001-01-01' END, n_nationkey + 1.0 FROM a)
   SELECT aoi_id, datetime, max(length) AS length FROM m GROUP BY ALL""")
 def waterline_history(spark, sf):
     o, c = p.table(spark, sf, "orders"), p.table(spark, sf, "customer")
     n = F.col("c_nationkey").cast("string")
     lines = o.join(c, o.o_custkey == c.c_custkey).select(
-        F.when(F.col("o_orderkey") % 4 != 0, F.concat(F.lit("n"), n, F.lit("x"))).alias("aoi_id"), F.concat(F.lit("run_N"), n, F.lit("X_"), F.col("o_orderkey").cast("string")).alias("run_id"),
+        F.when(F.col("o_orderkey") % 4 != 0, F.concat(F.lit("n"), n, F.lit("x"))).alias("aoi_id"), F.concat(F.lit("run_"), F.when(F.col("o_orderkey") % 8 == 0, "N").otherwise("n"), n, F.lit("x_"), F.col("o_orderkey").cast("string")).alias("run_id"),
         F.col("o_orderdate").cast("timestamp").alias("datetime"), (F.floor("o_totalprice") - 100000).cast("double").alias("length"),
     )
     k = F.col("n_nationkey")

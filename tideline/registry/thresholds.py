@@ -47,6 +47,19 @@ def weighted_peaks(spark, sf):
     return t.select("scene_id", "n_a", "n_b", r6("threshold").alias("threshold"))
 
 
+@query("dense_value_peaks", f"""WITH rows AS (SELECT l_returnflag AS scene_id, l_extendedprice::DOUBLE / 100000 AS v, CASE WHEN l_quantity > 25 THEN 1 ELSE 2 END AS cls FROM lineitem),
+  st AS (SELECT scene_id, count(*) FILTER (cls = 1) AS n_a, count(*) FILTER (cls = 2) AS n_b, avg(v) FILTER (cls = 1) AS ma, avg(v) FILTER (cls = 2) AS mb, min(v) AS lo, max(v) AS hi FROM rows GROUP BY 1),
+  gr AS (SELECT scene_id, g, lo + (hi - lo) * g / 999.0 AS x FROM st, (SELECT unnest(generate_series(0, 999)) AS g)), {density_sql('rows', 0.02, 'gr')},
+  two AS (SELECT scene_id, x, row_number() OVER (PARTITION BY scene_id ORDER BY prom DESC, g DESC) AS rk, count(*) OVER (PARTITION BY scene_id) AS n FROM peaks),
+  wp AS (SELECT scene_id, 0.2 * min(x) + 0.8 * max(x) AS t FROM two WHERE rk <= 2 AND n >= 2 GROUP BY 1)
+  SELECT scene_id AS l_returnflag, n_a, n_b, {s6('coalesce(t, (ma + mb) / 2)')} AS threshold FROM st LEFT JOIN wp USING (scene_id)""")
+def dense_value_peaks(spark, sf):
+    """Modes of tens of thousands of distinct values in one key, weighed in several parts."""
+    d = p.table(spark, sf, "lineitem").select("l_returnflag", (F.col("l_extendedprice").cast("double") / 100000).alias("v"), F.when(F.col("l_quantity") > 25, 1).otherwise(2).alias("cls"))
+    t = thresholds.weighted_peaks(d, "v", "cls", 1, 2, ["l_returnflag"], prominence=0.02)
+    return t.select("l_returnflag", "n_a", "n_b", r6("threshold").alias("threshold"))
+
+
 @query("weighted_peaks_legacy", _wp_sql(0.5, 1, 10))
 def weighted_peaks_legacy(spark, sf):
     t = thresholds.weighted_peaks(classed(spark, sf), "ndvi", "cls", 1, 2, min_class=1, min_total=10, prominence=0.5)

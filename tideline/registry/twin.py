@@ -29,7 +29,7 @@ def twin_summary(spark, sf):
     return metrics.twin_summary(p.obs(spark, sf), _meta(spark, sf)).drop("last_retrained_at")
 
 
-@query("poll_windows", f"WITH {p.OBS}, m AS (SELECT aoi_id, CASE WHEN aoi_id % 3 <> 0 THEN max(datetime) END AS l FROM obs GROUP BY aoi_id), w AS (SELECT aoi_id, coalesce(CAST(l AS DATE) + 1, DATE '2024-01-30' - 30) AS s FROM m) SELECT aoi_id, strftime(s, '%Y-%m-%d') AS poll_start, CASE WHEN s > DATE '2024-01-30' THEN 'up_to_date' ELSE 'poll' END AS poll_status FROM w")
+@query("poll_windows", f"WITH {p.OBS}, m AS (SELECT aoi_id, CASE WHEN aoi_id % 3 <> 0 THEN max(datetime) END AS l FROM obs GROUP BY aoi_id), w AS (SELECT aoi_id, coalesce(CAST(l AS DATE) + 1, DATE '2024-01-30' - 45) AS s FROM m) SELECT aoi_id, strftime(s, '%Y-%m-%d') AS poll_start, CASE WHEN s > DATE '2024-01-30' THEN 'up_to_date' ELSE 'poll' END AS poll_status FROM w")
 def poll_windows(spark, sf):
     w = twin.poll_window(_meta(spark, sf), F.lit("2024-01-30").cast("date"))
     return w.select("aoi_id", F.col("poll_start").cast("string").alias("poll_start"), "poll_status")

@@ -49,7 +49,7 @@ def _pixels_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if array.ndim == 2:
                 array = array[:, :, None]
             if array.ndim != 3:
-                continue
+                raise ValueError(f"{path}: an array of {array.ndim} dimensions is no raster")
             height, width, depth = array.shape
             for top in range(0, height, BLOCK_ROWS):
                 block = array[top : top + BLOCK_ROWS].astype("float64")

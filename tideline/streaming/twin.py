@@ -16,7 +16,7 @@ META = (
 )
 
 
-def poll_window(meta: DataFrame, today: Column, lookback_days: int = 30) -> DataFrame:
+def poll_window(meta: DataFrame, today: Column, lookback_days: int = 45) -> DataFrame:
     """Per AOI the days to ask for: after the last scene's day, else the lookback; or up to date."""
     start = F.coalesce(F.date_add(F.to_date("last_scene_datetime"), 1), F.date_sub(today, lookback_days))
     out = meta.withColumn("poll_start", start).withColumn("poll_end", today)
