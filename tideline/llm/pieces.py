@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLANK = "▁"
-#: Words that a worker remembers; the memory is emptied when full, which changes cost only.
-MEMORY = 400_000
+#: Words that a worker remembers in each of two generations; the older one is dropped when the younger is full, which changes cost only.
+MEMORY = 450_000
 _WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
@@ -98,8 +98,11 @@ class Transducer:
         self.inner = {p[i : i + 2] for p in self.arcs for i in range(len(p) - 1)}
         self.reached: dict[str, int] = {}
         self.weight = [-s for s in model.scores]
+        self.size_of = [len(p) for p in model.pieces]
         self.follows: dict[tuple[int, int], bool] = {}
-        self.memory: dict[str, tuple[int, ...]] = {}
+        self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.code = [i.to_bytes(4, "little") for i in range(len(model.pieces))]
         special = set(model.special)
         self.surface = ["" if i in special else p.replace(BLANK, " ") for i, p in enumerate(model.pieces)]
         self.value = {i: b for b, i in model.byte.items()}
@@ -150,34 +153,34 @@ class Transducer:
             known = self.follows[-1, a] = self.merged(self.model.pieces[a]) == [a]
         return known
 
-    def fallback(self, ch: str) -> tuple[int, ...]:
+    def fallback(self, ch: str) -> bytes:
         if self.model.byte:
-            return tuple(self.model.byte[b] for b in ch.encode("utf-8", "surrogatepass"))
-        return (self.model.unknown,)
-
-    def path(self, word: str) -> tuple[int, ...]:
-        """Shortest path of one word; characters without an arc stand alone and cut the word."""
-        known = self.memory.get(word)
-        if known is not None:
-            return known
+            return b"".join(self.code[self.model.byte[b]] for b in ch.encode("utf-8", "surrogatepass"))
+        return self.code[self.model.unknown]
+
+    def path(self, word: str) -> bytes:
+        """Shortest path of one word, as 32-bit little-endian ids; characters without an arc stand alone and cut the word."""
+        out = self.older.get(word)
         whole = self.arcs.get(word)
-        if whole is not None and (self.model.kind == "bpe") and self.alone(whole):
-            out: tuple[int, ...] = (whole,)
+        if out is not None:
+            pass
+        elif whole is not None and (self.model.kind == "bpe") and self.alone(whole):
+            out = self.code[whole]
         else:
             # no piece holds the two characters at a cut, so the parts have paths of their own
-            inner, arcs, out, at = self.inner, self.arcs, (), 0
+            inner, arcs, out, at = self.inner, self.arcs, b"", 0
             for i in range(1, len(word) + 1):
                 if word[i - 1 : i + 1] in inner and i < len(word):
                     continue
                 part = word[at:i]
                 at = i
-                out += (self.memory.get(part) or self.best(part)) if len(part) > 1 or part in arcs else self.fallback(part)
+                out += (self.memory.get(part) or self.older.get(part) or self.best(part)) if len(part) > 1 or part in arcs else self.fallback(part)
         if len(self.memory) >= MEMORY:
-            self.memory.clear()
+            self.older, self.memory = self.memory, {}
         self.memory[word] = out
         return out
 
-    def best(self, text: str) -> tuple[int, ...]:
+    def best(self, text: str) -> bytes:
         """Viterbi over (position, last piece): for BPE the acceptor leaves one live piece a position, for unigram the weights choose."""
         n = len(text)
         if self.model.kind == "bpe":
@@ -194,13 +197,13 @@ class Transducer:
                     cost[end], last[end] = cost[start] + self.weight[piece], piece
         out, at = [], n
         while at:
-            out.append(last[at])
+            out.append(self.code[last[at]])
             at -= len(self.model.pieces[last[at]])
-        return tuple(reversed(out))
+        return b"".join(reversed(out))
 
-    def _single(self, text: str) -> tuple[int, ...]:
+    def _single(self, text: str) -> bytes:
         """A BPE path. What a prefix reaches depends on the prefix alone, so words share the work on common beginnings."""
-        arcs, lengths, follows, reached, pieces = self.arcs, self.lengths, self.follows, self.reached, self.model.pieces
+        arcs, lengths, follows, reached, code, size_of = self.arcs, self.lengths, self.follows, self.reached, self.code, self.size_of
         if len(reached) > 2 * MEMORY:
             reached.clear()
         end = n = len(text)
@@ -225,17 +228,21 @@ class Transducer:
         out = []
         while n:
             piece = reached[text[:n]]
-            out.append(piece)
-            n -= len(pieces[piece])
-        return tuple(reversed(out))
+            out.append(code[piece])
+            n -= size_of[piece]
+        return b"".join(out[::-1])
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        get, add, path = self.memory.get, out.extend, self.path
+    def encode(self, text: str) -> bytes:
+        """Ids as 32-bit little-endian numbers."""
+        path, seen = self.path, self.memory
+        out = []
         for word in _WORD.findall(self.normalise(text)):
-            known = get(word)
-            add(path(word) if known is None else known)
-        return out
+            ids = seen.get(word)
+            if ids is None:
+                ids = path(word)
+                seen = self.memory
+            out.append(ids)
+        return b"".join(out)
 
     def decode(self, ids: list[int]) -> str:
         """The inverse: pieces to text, byte runs to characters (malformed bytes to U+FFFD), dummy prefix dropped."""
@@ -304,15 +311,10 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
             texts = batch.column(0)
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                flat: list[int] = []
-                ends, null = [0], []
-                for t in texts.slice(at, 256).to_pylist():
-                    null.append(t is None)
-                    if t is not None:
-                        flat += fst.encode(t)
-                    ends.append(len(flat))
-                offsets = pa.array(ends, pa.int32())
-                made = pa.ListArray.from_arrays(offsets, pa.array(np.array(flat, np.int32)), mask=pa.array(null))
+                rows = [None if t is None else fst.encode(t) for t in texts.slice(at, 256).to_pylist()]
+                ends = np.concatenate([[0], np.cumsum([len(x or b"") // 4 for x in rows])]).astype(np.int32)
+                flat = np.frombuffer(b"".join(x or b"" for x in rows), "<i4")
+                made = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32)), mask=pa.array([x is None for x in rows]))
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], made], names=[*part.schema.names[1:], "ids"])
 
     schema = ", ".join([*(f"k{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(kept)), "ids array<int>"])
@@ -356,11 +358,11 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "te
             for t in batch.column(1):
                 t = t.as_py() or ""
                 ids = fst.encode(t)
-                arr = np.array(ids, "<i4")
-                n.append(len(ids))
+                arr = np.frombuffer(ids, "<i4")
+                n.append(len(arr))
                 nb.append(int(is_byte[arr].sum()))
-                sha.append(hashlib.sha256(arr.tobytes()).hexdigest())
-                exact.append(fst.decode(ids) == t)
+                sha.append(hashlib.sha256(ids).hexdigest())
+                exact.append(fst.decode(arr.tolist()) == t)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nb, pa.int64()), pa.array(sha, pa.string()), pa.array(exact, pa.bool_())], names=["c0", "n_ids", "n_bytes", "ids_sha256", "exact"])
 
     kind = picked.schema["c0"].dataType.simpleString()
