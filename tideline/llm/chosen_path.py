@@ -189,11 +189,12 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     for _ in range(rounds):
         # every node's larger neighbours go under its least neighbour
         both = now.select(F.col("u").alias("n"), F.col("v").alias("m")).unionByName(now.select(F.col("v").alias("n"), F.col("u").alias("m")))
-        least = both.groupBy("n").agg(F.min("m").alias("lo")).select("n", F.least("lo", "n").alias("lo"))
+        # written first, so that both sides of the join are plain exchanges and a hot node's rows can be split
+        least = stored(both.groupBy("n").agg(F.min("m").alias("lo")).select("n", F.least("lo", "n").alias("lo")), "least")
         large = both.where("m > n").join(least, "n").select(F.col("m").alias("u"), F.col("lo").alias("v")).where("u <> v").distinct()
         large = stored(large, "links")
         # every node and its smaller neighbours go under the least of them
-        root = large.groupBy("u").agg(F.min("v").alias("lo"))
+        root = stored(large.groupBy("u").agg(F.min("v").alias("lo")), "least")
         small = large.join(root, "u").select(F.explode(F.array(F.struct("v", "lo"), F.struct(F.col("u").alias("v"), "lo"))).alias("e"))
         now = stored(small.select(F.col("e.v").alias("u"), F.col("e.lo").alias("v")).where("u <> v").distinct(), "links")
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % (1 << 31))).first()
