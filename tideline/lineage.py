@@ -47,3 +47,15 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in reliable storage so an iteration does not grow its plan."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    Like ``cut``, but the result's size is that of its files. A checkpoint keeps the estimate of the plan it came from, and
+    estimates multiply at each join: over a plan of many loops they become numbers of millions of digits, which planning then has to
+    multiply again. Composed plans therefore settle their stages.
+    """
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.lineage import cut
+from tideline.lineage import cut, settle
 from tideline.operators.skew import salted_join
 
 COL_TILE = 64
@@ -75,7 +75,7 @@ def spread_labels(nodes: DataFrame, links: DataFrame, keys: Sequence[str]) -> Da
         )
         labels = out.select(*keys, "node", "label")
         if out.filter(F.col("label") != F.col("_old")).isEmpty():
-            return labels
+            return settle(labels)
 
 
 def components(mask: DataFrame, keys: Sequence[str], connectivity: int = 8, row: str = "row", col: str = "col") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.lineage import cut
+from tideline.lineage import cut, settle
 from tideline.operators import geometry
 from tideline.operators.skew import salted_join, tile_halo
 
@@ -98,7 +98,7 @@ def stitch(segs: DataFrame, keys: Sequence[str], min_vertices: int = 3) -> DataF
     size = placed.groupBy(*keys, "contour").agg((F.count("*") + F.max(F.col("closed").cast("int"))).alias("n_vertices"))
     again = salted_join(back, size, [*keys, "contour"], spread=["node"]).withColumn("seq", F.col("n_vertices") - 1)
     rows = salted_join(placed, size, [*keys, "contour"], spread=["node"]).unionByName(again)
-    return cut(rows.filter(F.col("n_vertices") >= min_vertices).select(
+    return settle(rows.filter(F.col("n_vertices") >= min_vertices).select(
         *keys, "contour", F.col("seq").cast("long").alias("seq"), "row", "col", "closed", "n_vertices"
     ))
 
@@ -139,7 +139,7 @@ def _double(links: DataFrame, keys: Sequence[str]) -> DataFrame:
         )
         state = step.drop("_on")
         if step.filter("_on").isEmpty():
-            return state.withColumnRenamed("to", "tail")
+            return settle(state.withColumnRenamed("to", "tail"))
 
 
 def _ring_lows(links: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -163,7 +163,7 @@ def _ring_lows(links: DataFrame, keys: Sequence[str]) -> DataFrame:
         after = step.count()
         state = step.drop("_moved")
         if before == after and step.filter("_moved").isEmpty():
-            return state.select(*keys, "node", "ring")
+            return settle(state.select(*keys, "node", "ring"))
         before = after
 
 

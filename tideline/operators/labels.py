@@ -54,11 +54,11 @@ def regularize(
     smooth = profiles.savgol(v, keys, "seq", ["x", "y"], F.col("_count"), window, poly, passes, keep_ends=True, rule="grow")
     smooth = cut(smooth)
     lengths = geometry.line_lengths(smooth.select(*keys, "seq", "x", "y"), keys)
-    n = lengths.select(*keys, lines.target_points(F.col("length"), F.col("n_vertices"), fixed, low, high, per_100px).alias("_n"))
+    n = lengths.select(*keys, lines.target_points(F.col("length"), F.col("n_vertices"), fixed, low, high, per_100px).alias("_target"))
     tagged = salted_join(smooth.select(*keys, "seq", "x", "y"), n, keys, spread=["seq"])
-    out = geometry.resample_ordered(tagged, [*keys, "_n"], F.col("_n"))
+    out = geometry.resample_ordered(tagged, [*keys, "_target"], F.col("_target"))
     out = salted_join(out, size, keys, spread=["seq"])
-    return out.select(*keys, "seq", clip(F.col("x"), 0.0, F.col("width") - 1.0).alias("x"), clip(F.col("y"), 0.0, F.col("height") - 1.0).alias("y"), F.col("_n").alias("target_points"))
+    return out.select(*keys, "seq", clip(F.col("x"), 0.0, F.col("width") - 1.0).alias("x"), clip(F.col("y"), 0.0, F.col("height") - 1.0).alias("y"), F.col("_target").alias("target_points"))
 
 
 def line_from_prob(

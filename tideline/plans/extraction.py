@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.lineage import cut
+from tideline.lineage import settle as cut
 from tideline.operators import components, contours, geometry, raster, selection, spatial, thresholds
 from tideline.operators.skew import salted_join
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.scoring import score_with
 from tideline.functions.text_time import scene_seed
-from tideline.lineage import cut
+from tideline.lineage import settle as cut
 from tideline.operators import components, contours, geometry, labels, profiles, raster, spatial, thresholds
 from tideline.operators.skew import salted_join
 from tideline.plans.extraction import GEO, SCENE, index_pixels

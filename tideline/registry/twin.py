@@ -258,7 +258,7 @@ def run_summary(spark, sf):
     return r.select("aoi_id", "scenes_total", "scenes_real", "scenes_demo", "scenes_fallback", F.size("download_errors").alias("n_errors"), "model_lines", "timeseries_rows", "valid_rows")
 
 
-# --- composed plans (rows only; checked against brute force in tests) ---
+# --- composed plans: their operators have queries with SQL where the inventory allows; the plans themselves are tested in tests/test_plans.py ---
 
 @query("extracted_lines")
 def extracted_lines(spark, sf):
@@ -267,7 +267,7 @@ def extracted_lines(spark, sf):
     return level.select("scene_id", "boundary", r6("threshold").alias("threshold"), "n_a", "n_b").join(n, ["scene_id", "boundary"], "left")
 
 
-# not registered yet: the plan takes minutes and was not seen to finish
+@query("extracted_series")
 def extracted_series(spark, sf):
     frames = scene_frames(spark, sf).withColumn("position", F.col("scene_id")).withColumn("datetime", F.timestamp_seconds(F.col("scene_id") * 86400))
     lines, _, baseline = extraction.extract_run(p.pixels(spark, sf), frames, max_distance=60.0, min_patch=4)
@@ -281,7 +281,7 @@ def _refs(spark, sf):
     return a.select("aoi_id", F.col("seq").cast("long").alias("seq"), (500000.0 + F.col("seq") * 80).alias("x"), F.lit(5999900.0).alias("y"), F.when(F.col("aoi_id") % 2 == 0, "manual").otherwise("auto").alias("source"))
 
 
-# not registered yet: the plan takes minutes and was not seen to finish
+@query("guided_labels")
 def guided_labels(spark, sf):
     _, report = labelling.label_edges(p.pixels(spark, sf), scene_frames(spark, sf), _refs(spark, sf), max_distance=60.0, min_patch=4, transect_spacing=20.0, transect_length=160.0, corridor=20.0, low=10, high=50)
     return report.select("scene_id", "status", "reason", r6("threshold").alias("threshold"), "how", "points")
