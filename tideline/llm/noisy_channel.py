@@ -38,8 +38,8 @@ LETTERS = 64
 LABELLED_ROWS = 20_000
 #: Evidence that the scorer may hold, the most frequent in toxic texts first.
 EVIDENCE = 50_000
-#: The least P(toxic | text has it) that counts; weaker evidence would add up over long clean texts.
-STRONG = 0.85
+#: The least P(toxic | text has it) that counts, of a word and of a beginning, which clean words may share; weaker evidence would add up over long texts.
+STRONG, STRONG_PREFIX = 0.85, 0.93
 PREFIXES = (4, 5, 6, 7)
 MEMORY = 600_000
 _SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
@@ -250,7 +250,7 @@ def learn_evidence(df: DataFrame, labels: DataFrame, chars: CharModel, id_col: s
     for f, a in bad.items():
         for_it = prior * a / n_bad
         against = (1 - prior) * (good.get(f, 0) + 1.5) / (n_good + 3)
-        if (p := for_it / (for_it + against)) >= STRONG:
+        if (p := for_it / (for_it + against)) >= (STRONG_PREFIX if f.endswith("-") else STRONG):
             out[f] = p
     return out
 
