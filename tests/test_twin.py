@@ -33,6 +33,31 @@ def test_state_is_idempotent_and_ignores_known_and_late_scenes(spark, tmp_path):
     assert state.read("series", twin.KEYS).count() == 8
 
 
+def test_cycles_report_replays_late_and_known_scenes(spark, tmp_path):
+    state = twin.TwinState(spark, str(tmp_path / "c"))
+    feed = lambda rows: spark.createDataFrame([(a, s, dt.datetime(2025, 1, d, tzinfo=dt.timezone.utc)) for a, s, d in rows], "aoi_id bigint, scene_id string, datetime timestamp")
+    extract = lambda d: d.crossJoin(spark.range(2).select(F.col("id").cast("int").alias("transect_index"))).withColumn("ve", F.lit(1.0))
+    t = spark.createDataFrame([(1, 0, 5.0), (1, 1, 6.0)], "aoi_id bigint, transect_index int, x0 double")
+
+    def run(batch, rows, day, shift=0.0):
+        now = F.lit(f"2025-01-{day:02d} 12:00:00").cast("timestamp")
+        out = twin.cycle(state, batch, feed(rows), extract, now, f"r{batch}", t.withColumn("x0", F.col("x0") + shift), feed(rows), min_rows=4, interval_days=30)
+        return {r.aoi_id: (r.reason, r.new_scenes, r.late_scenes, r.known_scenes, r.timeseries_rows, r.retrain) for r in out.collect()}
+
+    one = run(0, [(1, "a", 2), (1, "b", 3), (2, "z", 3)], 5)
+    assert one == {1: ("updated", 2, 0, 0, 4, "due"), 2: ("updated", 1, 0, 0, 2, "insufficient_samples")}
+    assert run(0, [(1, "q", 4)], 6) == one
+    two = run(1, [(1, "b", 3), (1, "l", 1), (1, "c", 6), (2, "z", 3)], 7, 100.0)
+    assert two == {1: ("updated", 1, 1, 1, 6, "due"), 2: ("no_new_scenes", 0, 0, 1, 2, None)}
+    three = run(2, [(1, "x", 6)], 6)
+    assert three[1] == ("up_to_date", 0, 1, 0, 6, None) and three[2][0] == "no_new_scenes"
+    meta = {r.aoi_id: r for r in state.read("meta", ["aoi_id"]).collect()}
+    assert meta[1].last_run_id == "r1" and meta[1].timeseries_rows == 6 and meta[2].last_run_id == "r0"
+    assert sorted(r.x0 for r in state.read("transects", ["aoi_id", "transect_index"]).collect()) == [5.0, 6.0]
+    assert {r.aoi_id: r.scene_id for r in state.read("latest", ["aoi_id"]).collect()} == {1: "c", 2: "z"}
+    assert state.read("series", twin.KEYS).count() == 8
+
+
 def test_retrain_rules_in_order(spark):
     now = F.lit("2025-06-01").cast("timestamp")
     meta = spark.createDataFrame([(1, None), (2, dt.datetime(2025, 5, 1)), (3, None), (4, None)], "aoi_id bigint, last_retrained_at timestamp")

@@ -143,6 +143,21 @@ def assimilated_state(spark, sf):
     return rows.join(state.read("meta", ["aoi_id"]).select("aoi_id", "last_scene_datetime", "timeseries_rows"), "aoi_id")
 
 
+@query("assimilation_cycles", f"""WITH {p.OBS}, o AS (SELECT *, (day(datetime) - 1) // 8 AS b FROM obs),
+  n AS (SELECT aoi_id, b, count(*) FILTER (scene_id % 97 <> 0) AS new_scenes, count(*) FILTER (scene_id % 97 = 0) AS held, count(*) FILTER (scene_id % 50 = 0 AND scene_id % 97 <> 0) AS again FROM o GROUP BY ALL)
+  SELECT aoi_id, b AS cycle, 'updated' AS reason, new_scenes, coalesce(lag(held) OVER w, 0) AS late_scenes, coalesce(lag(again) OVER w, 0) AS known_scenes, sum(new_scenes) OVER w AS timeseries_rows FROM n WINDOW w AS (PARTITION BY aoi_id ORDER BY b)""")
+def assimilation_cycles(spark, sf):
+    """Four cycles of eight days each; scenes held back come late, some come twice, and one cycle is replayed."""
+    state = twin.TwinState(spark, scratch_path(spark, "cycles"))
+    o = p.obs(spark, sf).withColumn("_b", F.floor((F.dayofmonth("datetime") - 1) / 8))
+    held, again = F.col("scene_id") % 97 == 0, (F.col("scene_id") % 50 == 0) & (F.col("scene_id") % 97 != 0)
+    for b in (0, 1, 1, 2, 3):
+        feed = o.filter(((F.col("_b") == b) & ~held) | ((F.col("_b") == b - 1) & (held | again))).drop("_b")
+        twin.cycle(state, b, feed, lambda d: d, F.lit(f"2024-01-{min(8 * b + 8, 31)} 23:59:59").cast("timestamp"), f"cycle{b}")
+    s = state.read("status", ["aoi_id", "cycle"])
+    return s.select("aoi_id", "cycle", "reason", "new_scenes", "late_scenes", "known_scenes", "timeseries_rows")
+
+
 # --- sources and sinks: written to the shared folder and read back ---
 
 @query("series_files", f"WITH {p.OBS} SELECT scene_id, datetime, {s6('ve')} AS ve, {s6('wl')} AS wl FROM obs")

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tideline.lineage import settle
 from tideline.operators import selection
 
 KEYS = ["aoi_id", "scene_id", "transect_index"]
@@ -163,6 +164,72 @@ def assimilate(stream: DataFrame, state: TwinState, checkpoint: str, extract: Ca
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def cycle(
+    state: TwinState, batch_id: int, scenes: DataFrame, extract: Callable[[DataFrame], DataFrame], now: Column, run_id: str,
+    transects: DataFrame | None = None, lines: DataFrame | None = None, lookback_days: int = 45, min_rows: int = 200, interval_days: int = 180,
+) -> DataFrame:
+    """One heartbeat of all areas: poll, extract, append, latest line, retraining decision. Returns one status row per area.
+
+    ``scenes``: ``aoi_id, scene_id, datetime`` and what ``extract`` needs to give observation rows; ``transects`` by area keep the
+    first version, ``lines`` (``aoi_id, scene_id, datetime, …``) update the latest line. An area whose last scene's next day lies ahead is
+    ``up_to_date`` and stays untouched; one without new scenes only notes the time. Scenes before the window count as late,
+    known ones as known. The state keeps an index of scenes, so no cycle reads the whole series. A batch done before returns its old status rows.
+    """
+    if state.done(batch_id):
+        return state.read("status", ["aoi_id", "cycle"]).filter(F.col("cycle") == batch_id)
+    spark, today = state.spark, F.to_date(now)
+    old = state.read("meta", ["aoi_id"])
+    old = spark.createDataFrame([], META) if old is None else old
+    areas = scenes.select(F.col("aoi_id").cast("bigint").alias("aoi_id")).unionByName(old.select("aoi_id")).distinct()
+    polled = settle(poll_window(areas.join(old, "aoi_id", "left"), today, lookback_days))
+    day = F.to_date("datetime")
+    seen = settle(scenes.join(polled.select("aoi_id", "poll_start", "poll_end", "poll_status"), "aoi_id"))
+    known = state.read("scenes", ["aoi_id", "scene_id"])
+    found = seen.withColumn("_late", day < F.col("poll_start")).withColumn("_in", (F.col("poll_status") == "poll") & day.between(F.col("poll_start"), F.col("poll_end")))
+    if known is not None:
+        found = found.join(known.select("aoi_id", "scene_id", F.lit(True).alias("_known")), ["aoi_id", "scene_id"], "left")
+    else:
+        found = found.withColumn("_known", F.lit(None).cast("boolean"))
+    found = settle(found)
+    fresh = found.filter("_in AND _known IS NULL").select(*scenes.columns)
+    rows = settle(selection.upsert(extract(fresh).limit(0), extract(fresh), KEYS))
+    counts = rows.groupBy("aoi_id").agg(F.count("*").alias("_add"), F.max("datetime").alias("_last"))
+    tally = found.groupBy("aoi_id").agg(
+        F.count_distinct(F.when(F.col("_in") & F.col("_known").isNull(), F.col("scene_id"))).alias("new_scenes"),
+        F.count_distinct(F.when(F.col("_late") & F.col("_known").isNull(), F.col("scene_id"))).alias("late_scenes"),
+        F.count_distinct(F.when(F.col("_known"), F.col("scene_id"))).alias("known_scenes"),
+    )
+    both = settle(polled.drop("poll_start", "poll_end").join(tally, "aoi_id", "left").join(counts, "aoi_id", "left").fillna(0, ["new_scenes", "late_scenes", "known_scenes"]))
+    reason = F.when(F.col("poll_status") == "up_to_date", "up_to_date").when(F.col("new_scenes") == 0, "no_new_scenes").otherwise("updated")
+    both = both.withColumn("reason", reason)
+    touched, updated = F.col("reason") != "up_to_date", F.col("reason") == "updated"
+    total = F.coalesce("timeseries_rows", F.lit(0)) + F.coalesce("_add", F.lit(0))
+    have = state.read("transects", ["aoi_id", "transect_index"])
+    first = None
+    if transects is not None:
+        mine = transects.join(both.filter(updated).select("aoi_id"), "aoi_id", "left_semi")
+        first = mine if have is None else mine.join(have.select("aoi_id").distinct(), "aoi_id", "left_anti")
+        first = settle(first)
+        have = first if have is None else have.unionByName(first.select(*have.columns))
+    placed = spark.createDataFrame([], "aoi_id bigint") if have is None else have.select("aoi_id").distinct()
+    recent = F.col("last_retrained_at").isNotNull() & (now - F.col("last_retrained_at") < F.expr(f"INTERVAL {int(interval_days)} DAYS"))
+    decision = F.when(~updated, None).when(total < min_rows, "insufficient_samples").when(recent, "not_due").when(F.col("_placed").isNull(), "missing_transects").otherwise("due")
+    both = settle(both.join(placed.withColumn("_placed", F.lit(True)), "aoi_id", "left").withColumn("retrain", decision))
+    meta = both.filter(touched).select(
+        "aoi_id", now.alias("last_assimilation_at"), F.when(updated, F.coalesce("_last", "last_scene_datetime")).otherwise(F.col("last_scene_datetime")).alias("last_scene_datetime"),
+        F.when(updated, F.lit(run_id)).otherwise(F.col("last_run_id")).alias("last_run_id"), "last_retrained_at", "active_model_run_id", total.cast("bigint").alias("timeseries_rows"),
+    )
+    status = both.select("aoi_id", F.lit(int(batch_id)).cast("bigint").alias("cycle"), F.when(updated, "updated").otherwise("no_update").alias("status"), "reason", "new_scenes", "late_scenes", "known_scenes", total.cast("bigint").alias("timeseries_rows"), "retrain")
+    tables = {"series": rows, "meta": meta, "status": status, "scenes": rows.select("aoi_id", "scene_id").distinct()}
+    if first is not None:
+        tables["transects"] = first
+    if lines is not None:
+        newest = latest_line(lines.join(rows.select("aoi_id", "scene_id").distinct(), ["aoi_id", "scene_id"], "left_semi"))
+        tables["latest"] = newest
+    state.write(batch_id, tables)
+    return state.read("status", ["aoi_id", "cycle"]).filter(F.col("cycle") == batch_id)
+
+
 def dedup_scenes(stream: DataFrame, delay: str = "0 seconds", keys: Sequence[str] = ("aoi_id", "scene_id")) -> DataFrame:
     """Each scene once within the watermark; later rows than the watermark are dropped."""
     return stream.withWatermark("datetime", delay).dropDuplicatesWithinWatermark(list(keys))
