@@ -196,6 +196,8 @@ def test_mixing_meets_weights_and_quotas(spark, budget):
     assert abs(sum(weights.values()) - 1) < 1e-4
     out = mixing.mixed(df, target_entropy=0.9, max_repetition=3.0, budget=budget, blocks=16)
     assert out.columns == df.columns
+    used = Counter(r.doc_id for r in out.collect())
+    assert all(used[r.doc_id] == r.copies for r in got if r.doc_id is not None and r.doc_id >= 100)
     assert mixing.mix(df.where("false")).count() == 0 and mixing.mixed(df.where("false")).count() == 0
 
 

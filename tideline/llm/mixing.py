@@ -68,8 +68,39 @@ def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str =
     source of its own. Rows without tokens cost nothing and are used as often as their source's whole passes (once in a source without tokens). Repeated rows and null ids are rows of their own; their
     order among equal hashes is settled by id, text and a row's place. An empty table gives an empty result; other columns are ignored.
     """
-    rows = stored(df.select(F.col(id_col).alias("id"), F.col(source).cast("string").alias("source"), tokens(F.col(text)).alias("tokens"), F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col))).alias("order")), "mix-rows")
-    rows = rows.withColumn("block", (F.conv(F.substring("order", 1, 8), 16, 10).cast("bigint") % blocks).cast("int"))
+    rows, placed = _layout(df, id_col, text, source, target_entropy, max_repetition, budget, blocks, seed)
+    joined = spread_join(_keyed(rows), _keyed(placed), ["source", "block"], ["id", "order"])
+    rest = joined.where("state <> 1").withColumn("extra", F.when((F.col("state") == 2) & (F.col("tokens") > 0), 1).otherwise(0))
+    out = rest.unionByName(_cut(joined.where("state = 1")))
+    return out.select(
+        F.col("id").alias(id_col), F.when(F.col("source") != "", F.substring("source", 2, 1 << 30)).alias("source"), "tokens", "weight", "quota", "block", (F.col("passes") + F.col("extra")).alias("copies"),
+    )
+
+
+def _order(id_col: str, seed: int) -> Column:
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col)))
+
+
+def _block(order: Column, blocks: int) -> Column:
+    return (F.conv(F.substring(order, 1, 8), 16, 10).cast("bigint") % blocks).cast("int")
+
+
+def _keyed(df: DataFrame) -> DataFrame:
+    """Joins need a source that is not null: ``=`` and its name, or nothing."""
+    return df.withColumn("source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+
+
+def _cut(rows: DataFrame) -> DataFrame:
+    """Only one block of a source is cut: its rows alone are put in order."""
+    running = Window.partitionBy("source", "block").orderBy("order", "id", "tokens").rowsBetween(Window.unboundedPreceding, 0)
+    fits = (F.sum("tokens").over(running) <= F.col("room")) & (F.col("tokens") > 0)
+    return rows.withColumn("extra", fits.cast("int"))
+
+
+def _layout(df: DataFrame, id_col: str, text: str, source: str, target_entropy: float, max_repetition: float, budget: str, blocks: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their tokens, order and block; and per (source, block) its weight, quota, whole passes and place in the last pass."""
+    rows = stored(df.select(F.col(id_col).alias("id"), F.col(source).cast("string").alias("source"), tokens(F.col(text)).alias("tokens"), _order(id_col, seed).alias("order")), "mix-rows")
+    rows = rows.withColumn("block", _block(F.col("order"), blocks))
     # sums by (source, block) are made before the shuffle: at most sources x blocks rows
     sums = stored(rows.groupBy("source", "block").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")), "mix-blocks")
     plan = weights(sums.groupBy("source").agg(F.sum("t").alias("tokens")), target_entropy, max_repetition, budget)
@@ -82,24 +113,34 @@ def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str =
     placed = placed.withColumn("perm", perm).withColumn("before", F.coalesce(F.sum("t").over(ahead), F.lit(0)))
     state = F.when(F.col("before") + F.col("t") <= F.col("rest"), 2).when(F.col("before") < F.col("rest"), 1).otherwise(0)
     placed = stored(placed.withColumn("state", state).select("source", "block", "weight", "quota", "passes", F.col("rest") - F.col("before"), "state").toDF("source", "block", "weight", "quota", "passes", "room", "state"), "mix-placed")
-    key = lambda d: d.withColumn("source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))  # noqa: E731  joins need a source that is not null
-    joined = spread_join(key(rows), key(placed), ["source", "block"], ["id", "order"])
-    # only one block of a source is cut: its rows alone are put in order
-    cut = joined.where("state = 1")
-    running = Window.partitionBy("source", "block").orderBy("order", "id", "tokens").rowsBetween(Window.unboundedPreceding, 0)
-    cut = cut.withColumn("extra", (F.sum("tokens").over(running) <= F.col("room")).cast("int"))
-    rest = joined.where("state <> 1").withColumn("extra", F.when((F.col("state") == 2) & (F.col("tokens") > 0), 1).otherwise(0))
-    out = rest.unionByName(cut)
-    extra = F.when(F.col("tokens") == 0, 0).otherwise(F.col("extra"))
-    return out.select(
-        F.col("id").alias(id_col), F.when(F.col("source") != "", F.substring("source", 2, 1 << 30)).alias("source"), "tokens", "weight", "quota", "block", (F.col("passes") + extra).alias("copies"),
-    )
+    return rows, placed
+
+
+#: Blocks of all sources that are sent to every task; with more, rows are joined by a salted shuffle.
+SENT_BLOCKS = 1 << 17
 
 
-def mixed(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """The rows of ``df``, all columns, each as often as ``mix`` says; rows with the same id and source alike."""
-    copies = mix(df, id_col, text, source, **how).groupBy(F.col(id_col).alias("_id"), F.col("source").alias("_source")).agg(F.max("copies").alias("_copies"))
-    copies = stored(copies, "mix-copies")
-    row = df.select(F.struct("*").alias("r"))
-    joined = row.join(copies.where("_copies > 0"), F.col(f"r.{id_col}").eqNullSafe(F.col("_id")) & F.col(f"r.{source}").cast("string").eqNullSafe(F.col("_source")))
-    return joined.select("r", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("r.*")
+def mixed(
+    df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", target_entropy: float = 0.95, max_repetition: float = 4.0, budget: str = "sum", blocks: int = BLOCKS, seed: int = 1,
+) -> DataFrame:
+    """The rows of ``df``, all columns, each as often as ``mix`` says.
+
+    Rows learn their copies from their block, so texts stay where they are; only rows of the one cut block of a source are looked up by id, and
+    rows with the same id and source fare alike there.
+    """
+    rows, placed = _layout(df, id_col, text, source, target_entropy, max_repetition, budget, blocks, seed)
+    within = _cut(_keyed(rows).join(_keyed(placed.where("state = 1")), ["source", "block"]))
+    within = within.groupBy(F.col("id").alias("_id"), "source").agg(F.max(F.col("passes") + F.col("extra")).alias("copies"))
+    within = stored(within, "mix-cut")
+    order = _order(id_col, seed)
+    row = _keyed(df.select(F.struct("*").alias("r"), F.col(source).cast("string").alias("source"), order.alias("order"), _block(order, blocks).alias("block")))
+    plan = _keyed(placed).select("source", "block", "passes", "state")
+    if placed.count() <= SENT_BLOCKS:
+        joined = row.join(F.broadcast(plan), ["source", "block"])
+    else:
+        joined = spread_join(row, plan, ["source", "block"], ["order"])
+    some = F.coalesce(F.col(f"r.{text}").cast("string").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    plain = joined.where("state <> 1").select("r", (F.col("passes") + F.when((F.col("state") == 2) & some, 1).otherwise(0)).alias("copies"))
+    looked = joined.where("state = 1").alias("j").join(within.alias("w"), (F.col("j.source") == F.col("w.source")) & F.col(f"j.r.{id_col}").eqNullSafe(F.col("w._id"))).select("j.r", "w.copies")
+    both = plain.unionByName(looked).where("copies > 0")
+    return both.select("r", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("r.*")
