@@ -57,7 +57,7 @@ def test_an_empty_mask_scores_null(spark):
 def test_nearest_segment_ends_without_a_coordinate_and_reaches_far(spark):
     q = spark.createDataFrame([(1, 1, 0.0, 0.0, 0.0, 0.0), (2, 1, None, 0.0, None, 0.0), (3, 1, float("nan"), 0.0, 1.0, 0.0), (4, 1, 90000.0, 0.0, 90000.0, 0.0)], "id int, k int, x0 double, y0 double, x1 double, y1 double")
     t = spark.createDataFrame([(1, 3.0, 4.0, 3.0, 9.0, 0.0), (1, None, 1.0, 1.0, 1.0, 0.0)], "k int, x0 double, y0 double, x1 double, y1 double, cum0 double")
-    got = {r.id: r.distance for r in spatial.nearest_segment(q, t, ["id"], ["k"], 4.0).collect()}
+    got = {r.id: r.distance for r in spatial.nearest_segment(q, t, ["id", "k"], ["k"], 4.0).collect()}
     assert set(got) == {1, 4} and got[1] == pytest.approx(5.0) and got[4] == pytest.approx(np.hypot(89997.0, 4.0))
 
 
