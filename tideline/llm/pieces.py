@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 BLANK = "▁"
 #: Words that a worker remembers in each of two generations; the older one is dropped when the younger is full, which changes cost only.
-MEMORY = 450_000
+MEMORY = 200_000
 _WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
