@@ -284,3 +284,29 @@ def test_toxicity_restores_hidden_words_and_survives_awkward_rows(spark):
     assert noisy_channel.learn_evidence(docs, marks.where("false"), chars) == {}
     assert noisy_channel.learn_chars(docs.where("false")).counts == {}
     assert noisy_channel.restored(odd, chars).where("doc_id = 4").first().restored == "you idiot"
+
+
+def test_every_repeated_run_of_two_lines_goes_whole(spark):
+    rng = random.Random(9)
+    fresh = iter(range(10**6))
+    line = lambda: f"line {next(fresh)}"
+    rows = []
+    for n in range(60):
+        # a passage of two to six lines in the middle of two documents, at different depths
+        passage = [line() for _ in range(2 + n % 5)]
+        for i in (2 * n, 2 * n + 1):
+            rows.append((i, "\n".join([*(line() for _ in range(rng.randrange(1, 6))), *passage, *(line() for _ in range(rng.randrange(1, 6)))]), "s"))
+    # pieces of one passage in several documents, a run inside one document, runs of equal lines, a lone repeated line
+    rows += [(200, "a\nb\nc\nd", "s"), (201, "x1\nb\nc\nx2\na\nb", "s"), (202, "c\nd\nx3\nb\nx4", "s"), (203, "p\nq\ny1\np\nq\ny2", "s")]
+    rows += [(210, "e\ne\ne", "s"), (211, "z1\ne\ne\ne", "s"), (212, "f\nf\nf\nf", "s"), (213, "g\ng", "s"), (214, "g\ng\ng\nh", "s")]
+    rows += [(220, "0\n" * 4000 + "m\nn", "s")]
+    got = {r.doc_id: r.text for r in line_chunks.deduplicate_lines(frame(spark, rows)).collect()}
+    # maximal repeated runs, found without chunks: a line goes if it lies in two lines that stand earlier
+    for i, t, _ in rows[:120]:
+        seen = {pair for j, u, _ in rows[:120] if j < i for w in [u.split("\n")] for pair in zip(w, w[1:])}
+        w = t.split("\n")
+        gone = {x for k, pair in enumerate(zip(w, w[1:])) if pair in seen for x in (k, k + 1)}
+        assert len(gone) == (2 + (i // 2) % 5 if i % 2 else 0)
+        assert got[i] == "\n".join(x for k, x in enumerate(w) if k not in gone)
+    want = {200: "a\nb\nc\nd", 201: "x1\nx2", 202: "x3\nb\nx4", 203: "p\nq\ny1\ny2", 210: "e\ne\ne", 211: "z1", 212: "f\nf", 213: "g\ng", 214: "g\nh", 220: "0\n0\nm\nn"}
+    assert {i: got[i] for i in want} == want

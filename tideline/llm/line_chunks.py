@@ -1,9 +1,9 @@
-"""Removal of repeated multi-line passages by content-defined line chunks (operator 3). DataFrame functions only.
+"""Removal of repeated multi-line passages by line chunks (operator 3). DataFrame functions only.
 
-Each line is hashed; a rolling hash over ``window`` line hashes decides whether a chunk ends behind a line, so a passage is
-cut at the same places wherever it stands. Several independent boundary rules (``seeds``) are applied, since a short passage may fall between
-the cuts of one. Chunks of two or more lines whose hash occurs more than once are compared byte for byte; the occurrence in the
-smallest document (then at the first line) stays, all others are removed.
+Each line is hashed. Every two neighbouring lines of a document are a chunk, so each repeated passage of two or more lines is made of
+repeated chunks wherever it stands and however long it is, and none falls between sampled cuts. Chunks whose hash occurs more than once are compared
+byte for byte; the occurrence in the smallest document (then at the first line) stays, the lines of all others are removed.
+Blank lines are lines like others.
 """
 
 from __future__ import annotations
@@ -13,33 +13,31 @@ from pyspark.sql import functions as F
 
 from tideline.llm.tables import near, spread_join, stored
 
-WINDOW = 2
-MODULUS = 2
-SEEDS = 4
 MIN_LINES = 2
 
 
-def cuts(hashes: Column, window: int, modulus: int, seed: int) -> Column:
-    """Ascending line numbers at which a chunk starts, and the number of lines; 0 and the end always are cuts."""
+def chunks(hashes: Column) -> Column:
+    """(a, b) of the chunks of an array of two line hashes or more; b is exclusive.
+
+    Within a run of equal lines neighbouring pairs would be equal and overlap, and a first occurrence would lose lines to itself:
+    there every second pair is a chunk, and the last three lines of an odd run.
+    """
     n = F.size(hashes)
-    rolling = lambda i: F.xxhash64(F.slice(hashes, F.greatest(i - window + 1, F.lit(1)), F.least(i, F.lit(window))), F.lit(seed))
-    inner = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.pmod(rolling(i), F.lit(modulus)) == 0))
-    return F.concat(F.array(F.lit(0)), inner)
-
-
-def chunks(hashes: Column, window: int = WINDOW, modulus: int = MODULUS, seeds: int = SEEDS, min_lines: int = MIN_LINES) -> Column:
-    """Distinct (a, b) of the chunks of at least ``min_lines`` lines under every seed; b is exclusive."""
-    parts = []
-    for seed in range(seeds):
-        c = cuts(hashes, window, modulus, seed)
-        # neighbouring cuts, without building the array of cuts twice
-        pair = F.aggregate(
-            c, F.struct(F.lit(0).alias("last"), F.expr("array()").cast("array<struct<a:int,b:int>>").alias("out")),
-            lambda acc, x: F.struct(x.alias("last"), F.when(x - acc["last"] >= min_lines, F.concat(acc["out"], F.array(F.struct(acc["last"].alias("a"), x.alias("b"))))).otherwise(acc["out"]).alias("out")),
-            lambda acc: acc["out"],
-        )
-        parts.append(pair)
-    return F.array_distinct(F.concat(*parts))
+    opens = F.zip_with(hashes, F.concat(F.array(F.lit(None).cast("bigint")), F.slice(hashes, F.lit(1), n - 1)), lambda x, before: ~x.eqNullSafe(before))
+    starts = F.array_compact(F.transform(opens, lambda new, i: F.when(new, i)))
+    # a start's run reaches to the next start
+    runs = F.zip_with(starts, F.slice(starts, F.lit(2), F.size(starts)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    span = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
+    none = F.array().cast("array<struct<a:int,b:int>>")
+
+    def inside(r: Column) -> Column:
+        """Chunks that begin in the run; the last one reaches into the next run."""
+        a, size, last = r["a"], F.coalesce(r["b"], n) - r["a"], r["b"].isNull()
+        pairs = F.when(size > 1, F.transform(F.sequence(F.lit(0), F.floor(size / 2).cast("int") - 1), lambda j: span(a + 2 * j, a + 2 * j + 2))).otherwise(none)
+        odd = F.when((size > 2) & (size % 2 == 1), F.array(span(a + size - 3, a + size))).otherwise(none)
+        return F.concat(pairs, odd, F.when(last, none).otherwise(F.array(span(a + size - 1, a + size + 1))))
+
+    return F.flatten(F.transform(runs, inside))
 
 
 def documents(df: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -48,11 +46,11 @@ def documents(df: DataFrame, id_col: str, text: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.xxhash64(id_col, t).alias("k"), F.split(t, "\n", -1).alias("lines"))
 
 
-def occurrences(docs: DataFrame, **how: int) -> DataFrame:
+def occurrences(docs: DataFrame) -> DataFrame:
     """(id, k, a, b, h): every chunk of every document and a hash of its line hashes."""
-    hashed = docs.where(F.size("lines") >= how.get("min_lines", MIN_LINES)).select("id", "k", F.transform("lines", lambda x: F.xxhash64(x)).alias("hs"))
-    size = lambda c: c["b"] - c["a"]
-    keyed = F.transform(chunks(F.col("hs"), **how), lambda c: F.struct(c["a"].alias("a"), c["b"].alias("b"), F.xxhash64(F.slice("hs", c["a"] + 1, size(c)), size(c)).alias("h")))
+    hashed = docs.where(F.size("lines") >= MIN_LINES).select("id", "k", F.transform("lines", lambda x: F.xxhash64(x)).alias("hs"))
+    # a chunk of three holds equal lines only, so its ends and size say all
+    keyed = F.transform(chunks(F.col("hs")), lambda c: F.struct(c["a"].alias("a"), c["b"].alias("b"), F.xxhash64(F.get("hs", c["a"]), F.get("hs", c["b"] - 1), c["b"] - c["a"]).alias("h")))
     return hashed.select("id", "k", F.explode(keyed).alias("c")).select("id", "k", "c.a", "c.b", "c.h")
 
 
@@ -65,11 +63,11 @@ def bodies(docs: DataFrame, found: DataFrame) -> DataFrame:
     return met.select("d.id", "d.k", F.explode(body).alias("c")).select("id", "k", "c.a", "c.b", "c.h", "c.body")
 
 
-def repeated(docs: DataFrame, **how: int) -> DataFrame:
+def repeated(docs: DataFrame) -> DataFrame:
     """(id, k, a, b): line ranges to remove. The first occurrence of equal bytes, by (id, k, a) with null ids last, is not among them."""
-    keys = occurrences(docs, **how).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    keys = occurrences(docs).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     keys = stored(keys, "chunk-keys")
-    some = near(occurrences(docs, **how), keys, ["h"])[0].join(keys, "h", "left_semi")
+    some = near(occurrences(docs), keys, ["h"])[0].join(keys, "h", "left_semi")
     found = stored(bodies(docs, some), "chunks")
     # equal bytes meet before the shuffle; hashes that collide part here
     place = F.struct(F.col("id").isNull().alias("z"), "id", "k", "a")
@@ -78,14 +76,14 @@ def repeated(docs: DataFrame, **how: int) -> DataFrame:
     return joined.where(place != F.col("first")).select("id", "k", "a", "b")
 
 
-def deduplicate_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", size_col: str | None = None, marks: bool = False, **how: int) -> DataFrame:
+def deduplicate_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", size_col: str | None = None, marks: bool = False) -> DataFrame:
     """``df`` with repeated chunks removed from ``text``; ``size_col``, if given, becomes the new text's length. All columns stay.
 
     With ``marks`` the columns ``_removed`` (line numbers) and ``_lines`` (lines there were) are added. Null and one-line texts stay as they are; a text
     wholly removed becomes empty. Rows with the same id and text are one document and change alike. Documents with null ids never hold the first
     occurrence while one with an id has the chunk. An empty table stays empty.
     """
-    gone = repeated(documents(df, id_col, text), **how)
+    gone = repeated(documents(df, id_col, text))
     lines = gone.select("id", "k", F.explode(F.sequence(F.col("a"), F.col("b") - 1)).alias("i")).groupBy("id", "k").agg(F.collect_set("i").alias("gone"))
     lines = stored(lines, "removed")
     row = df.select(F.struct("*").alias("r"), F.xxhash64(id_col, F.col(text).cast("string")).alias("k"))
