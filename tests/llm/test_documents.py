@@ -310,3 +310,20 @@ def test_every_repeated_run_of_two_lines_goes_whole(spark):
         assert got[i] == "\n".join(x for k, x in enumerate(w) if k not in gone)
     want = {200: "a\nb\nc\nd", 201: "x1\nx2", 202: "x3\nb\nx4", 203: "p\nq\ny1\ny2", 210: "e\ne\ne", 211: "z1", 212: "f\nf", 213: "g\ng", 214: "g\nh", 220: "0\n0\nm\nn"}
     assert {i: got[i] for i in want} == want
+
+
+def test_toxic_words_of_the_tail_are_learned_from_copied_rows(spark):
+    rng = random.Random(10)
+    tail = ["idiot", "moron", "loser", "clown"]
+    say = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    text = lambda extra: " ".join([*(say() for _ in range(30)), extra, say()])
+    # 48 distinct toxic texts of 40 rows each, every word in 12 of them; clean near copies of some, and clean texts
+    bad = [text(tail[i % 4]) for i in range(48)]
+    rows = [(t, 1) for t in bad for _ in range(40)] + [(t.rsplit(" ", 2)[0] + " fine " + say(), 0) for t in bad[:24]] + [(text(say()), 0) for _ in range(2000)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id bigint, text string")
+    marks = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id bigint, toxic int")
+    evidence = noisy_channel.learn_evidence(docs, marks, noisy_channel.learn_chars(docs))
+    assert set(tail) <= set(evidence) and "fine" not in evidence
+    # places are for evidence: many frequent clean words do not fill them
+    few = noisy_channel.learn_evidence(docs, marks, noisy_channel.learn_chars(docs), limit=40)
+    assert set(tail) <= set(few)

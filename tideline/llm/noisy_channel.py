@@ -41,6 +41,8 @@ EVIDENCE = 50_000
 #: The least P(toxic | text has it) that counts, of a word and of a beginning, which clean words may share; weaker evidence would add up over long texts.
 STRONG, STRONG_PREFIX = 0.85, 0.93
 PREFIXES = (4, 5, 6, 7)
+#: Toxic texts that must have a word or beginning before it is evidence.
+SUPPORT = 5
 MEMORY = 600_000
 _SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
 _EDGE = re.compile(r"^[\W_]*[\"'«»().,;:?\[\]{}*%&#]+(?=\w)|(?:[.,;:?!\"'*%&#)\]}»]+|\$\$\$+)+$")
@@ -204,55 +206,39 @@ def learn_evidence(df: DataFrame, labels: DataFrame, chars: CharModel, id_col: s
                     h[at + has] = np.minimum.reduceat(values, first[:-1][has]).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(h)], names=["y", "t", "h"])
 
-    # near copies mostly share their least shingle: they count once, or a copied text would make evidence of all its words
+    # near copies mostly share their least shingle: they count once in their class, or a copied text would make evidence of all its words
     with_mark = fit.select("y", "t").mapInArrow(marked, "y int, t string, h bigint")
-    once = stored(with_mark.groupBy("h").agg(F.min(F.struct("y", "t")).alias("s")).select("s.y", "s.t"), "labelled")
-
-    def count(want: int, only: frozenset[str] | None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            memory: dict[str, list[str]] = {}
-            for batch in batches:
-                seen: Counter[str] = Counter()
-                n = 0
-                for y, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    if y != want:
-                        continue
-                    n += 1
-                    found: set[str] = set()
-                    for w in tokens(t.as_py()):
-                        known = memory.get(w)
-                        if known is None:
-                            known = features(restore(w, chars))
-                            if only is not None:
-                                known = [f for f in known if f in only]
-                            if len(memory) > MEMORY // 4:
-                                memory.clear()
-                            memory[w] = known
-                        found.update(known)
-                    seen.update(found)
-                seen[""] = n
-                yield pa.RecordBatch.from_pydict({"f": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
-
-        return run
-
-    def totals(want: int, only: frozenset[str] | None) -> DataFrame:
-        return once.mapInArrow(count(want, only), "f string, n bigint").groupBy("f").agg(F.sum("n").alias("n"))
-
-    least = max(5, min(rows, sizes[1]) * 3 // 200)
-    bad = {r.f: r.n for r in totals(1, None).where((F.col("n") >= least) | (F.col("f") == "")).orderBy(F.desc("n"), "f").limit(limit + 1).collect()}
-    n_bad = bad.pop("", 0)
-    good = {r.f: r.n for r in totals(0, frozenset(bad)).collect()}
-    n_good = good.pop("", 0)
-    if not n_bad or not n_good:
+    once = stored(with_mark.groupBy("y", "h").agg(F.min("t").alias("t")).select("y", "t"), "labelled")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory: dict[str, list[str]] = {}
+        for batch in batches:
+            seen: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+            for y, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = {""}  # counts the texts
+                for w in tokens(t.as_py()):
+                    known = memory.get(w)
+                    if known is None:
+                        known = features(restore(w, chars))
+                        if len(memory) > MEMORY // 4:
+                            memory.clear()
+                        memory[w] = known
+                    found.update(known)
+                seen[y].update(found)
+            every = list({**seen[0], **seen[1]})
+            yield pa.RecordBatch.from_pydict({"f": pa.array(every, pa.string()), "good": pa.array([seen[0][f] for f in every], pa.int64()), "bad": pa.array([seen[1][f] for f in every], pa.int64())})
+
+    totals = stored(once.mapInArrow(count, "f string, good bigint, bad bigint").groupBy("f").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "evidence")
+    n = totals.where("f = ''").first()
+    if n is None or not n.bad or not n.good:
         return {}
     prior = sizes[1] / (sizes[0] + sizes[1])
-    out = {}
-    for f, a in bad.items():
-        for_it = prior * a / n_bad
-        against = (1 - prior) * (good.get(f, 0) + 1.5) / (n_good + 3)
-        if (p := for_it / (for_it + against)) >= (STRONG_PREFIX if f.endswith("-") else STRONG):
-            out[f] = p
-    return out
+    for_it = F.lit(prior) * F.col("bad") / n.bad
+    against = F.lit(1 - prior) * (F.col("good") + 1.5) / (n.good + 3)
+    # the bounds are met before the limit, or frequent clean words would take the places of rare toxic ones
+    strong = totals.where((F.col("f") != "") & (F.col("bad") >= SUPPORT)).withColumn("p", for_it / (for_it + against))
+    strong = strong.where(F.col("p") >= F.when(F.col("f").endswith("-"), STRONG_PREFIX).otherwise(STRONG))
+    return {r.f: r.p for r in strong.orderBy(F.desc("bad"), "f").limit(limit).collect()}
 
 
 def score(df: DataFrame, chars: CharModel, evidence: dict[str, float], id_col: str = "doc_id", text: str = "text") -> DataFrame:
