@@ -28,12 +28,26 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest id stays, and of rows with that id one; rows without an id name no class and stay unless a class has them."""
-    classes = chosen_path.similar(docs).where("doc_id is not null and doc_id <> class_id").select(F.col("doc_id").alias("_id")).distinct()
-    gone = stored(classes, "near-copies")
-    row = docs.select(F.struct("*").alias("r"), F.col("doc_id").alias("_id"))
-    some, rest = near(row, gone, ["_id"])
-    return some.join(gone, "_id", "left_anti").select("r").unionByName(rest.select("r")).select("r.*")
+    """Of each class of near copies one row stays: of those with the smallest id one, and a row without an id only where the class has none with one.
+
+    Rows are told apart by (id, text), so rows that share an id are judged by their own texts. Texts without a word are no copies; of repeated ones one row
+    of each id stays, and all without an id.
+    """
+    t = F.col("text").cast("string")
+    key = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.xxhash64(t).alias("h"))
+    found = chosen_path.similar(docs.select(key.alias("_id"), t.alias("text")), id_col="_id")
+    found = stored(found.groupBy("_id", "class_id").agg(F.count(F.lit(1)).alias("n")), "classes")
+    gone = F.col("_id") != F.col("class_id")
+    met = stored(found.where(gone | (F.col("n") > 1)).select("_id", gone.alias("gone")), "near-copies")
+    row = docs.select(F.struct("*").alias("r"), key.alias("_id"))
+    some, rest = near(row, met, ["_id"])
+    told = some.join(met, "_id", "left")
+    wordless = F.col("_id.z") & ~F.coalesce(F.col("r.text").cast("string"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    alone = F.col("gone").isNull() | wordless
+    # repeated rows of one key: the least stays, found before the shuffle
+    once = told.where(~alone & ~F.col("gone")).groupBy("_id").agg(F.min("r").alias("r"))
+    out = told.where(alone).select("r").unionByName(once.select("r")).unionByName(rest.select("r"))
+    return out.select("r.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -194,3 +194,19 @@ def test_pipeline_keeps_clean_documents_and_drops_planted_ones(spark, tmp_path):
         if r.doc_id < 60:
             assert r.ids == library.encode(originals[r.doc_id]) and r.n_ids == len(r.ids)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "ngram_jaccard_join", "mixing", "sentencepiece"]
+
+
+def test_near_duplicates_keep_one_row_of_each_class(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    text = lambda: " ".join(f"w{rng.randrange(9000)}" for _ in range(60))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    # repeated rows; an id with a near copy and a clean text; the smallest id of a class has a second text that is a near copy; null ids only; null ids beside an id
+    rows = [(1, a), (1, a), (1, a), (10, b), (11, b + " more"), (11, c), (20, d), (21, d + " tail"), (20, b + " end")]
+    rows += [(None, e), (None, e), (None, e + " x"), (None, f), (30, f + " y"), (None, ""), (None, ""), (40, " "), (40, " ")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, df, "").collect()]
+    some = [x for x in got if x[1].startswith(e)]
+    assert len(some) == 1
+    assert sorted(map(str, (x for x in got if x not in some))) == sorted(map(str, [(1, a), (10, b), (11, c), (20, d), (30, f + " y"), (None, ""), (None, ""), (40, " ")]))
