@@ -210,3 +210,16 @@ def test_near_duplicates_keep_one_row_of_each_class(spark):
     some = [x for x in got if x[1].startswith(e)]
     assert len(some) == 1
     assert sorted(map(str, (x for x in got if x not in some))) == sorted(map(str, [(1, a), (10, b), (11, c), (20, d), (30, f + " y"), (None, ""), (None, ""), (40, " ")]))
+
+
+def test_deep_path_entries_match(spark):
+    at = dt.datetime(2024, 1, 2)
+    pages = [(i, u, at) for i, u in enumerate(["https://x.org/a/b/c", "https://x.org/a/b/c/d/e?q#f", "https://x.org/a/b", "https://x.org/a/b/cc", "https://x.org/a/b/c/d/e/f/g/h"])]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, fetched_at timestamp_ntz")
+    schema = "list string, verdict string, pattern string, at timestamp_ntz, action string"
+    entry = lambda pattern, verdict="block": ("l", verdict, pattern, dt.datetime(2024, 1, 1), "add")
+    lists = spark.createDataFrame([entry("p:x.org/a/b/c"), entry("p:x.org/a/b/c/d/e/f/g", "allow")], schema)
+    got = {r.page_id: (r.allowed, r.n_active) for r in url_filters.judge(df, lists, folders=None).collect()}
+    assert got == {0: (False, 1), 1: (False, 1), 2: (True, 0), 3: (True, 0), 4: (True, 2)}
+    flat = spark.createDataFrame([entry("d:x.org"), entry("u:x.org/a/b")], schema)
+    assert {r.page_id: r.n_active for r in url_filters.judge(df, flat, folders=None).collect()} == {0: 1, 1: 1, 2: 2, 3: 1, 4: 1}

@@ -58,7 +58,7 @@ def list_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filters.judge(captures(spark, sf_dir), list_entries(spark, sf_dir))
+    return url_filters.judge(captures(spark, sf_dir), list_entries(spark, sf_dir), folders=None)
 
 
 def op2_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:

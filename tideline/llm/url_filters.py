@@ -2,7 +2,7 @@
 
 A list is a log of dated entries (add or remove a pattern). Entries become validity intervals; every capture is judged by the entries
 that were active when it was fetched. A capture offers a handful of keys (its host and parent domains, its address,
-its first path folders); keys and intervals meet in an equi-join on (pattern, period), where a period is a span of days, so a pattern with a long
+its path folders); keys and intervals meet in an equi-join on (pattern, period), where a period is a span of days, so a pattern with a long
 history meets a capture only through the intervals that touch the capture's period.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tideline.llm.tables import spread_join, stored
 
 PERIOD_DAYS = 32
+#: Path folders of a capture that are looked up unless the caller asks for as many as the entries have (``folders=None``).
 PATH_FOLDERS = 2
 _FAR = "timestamp_ntz'9999-12-31 00:00:00'"
 _FIRST = "timestamp_ntz'0001-01-01 00:00:00'"
@@ -31,12 +32,12 @@ def address(url: Column) -> Column:
     return F.concat(host(url), F.regexp_replace(path, "/+$", ""))
 
 
-def url_keys(url: Column, folders: int = PATH_FOLDERS) -> Column:
-    """Keys a capture can be listed by: ``d:`` host and each parent domain of two labels or more, ``p:`` host and path folders, ``u:`` the address."""
+def url_keys(url: Column, folders: int) -> Column:
+    """Keys a capture can be listed by: ``d:`` host and each parent domain of two labels or more, ``p:`` host and up to ``folders`` path folders, ``u:`` the address."""
     labels, parts = F.split(host(url), "\\."), F.split(address(url), "/")
     domains = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.concat(F.lit("d:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
     paths = F.transform(F.sequence(F.lit(1), F.least(F.size(parts) - 1, F.lit(folders))), lambda i: F.concat(F.lit("p:"), F.array_join(F.slice(parts, 1, i + 1), "/")))
-    paths = F.when(F.size(parts) > 1, paths).otherwise(F.array().cast("array<string>"))
+    paths = F.when((F.size(parts) > 1) & (F.lit(folders) > 0), paths).otherwise(F.array().cast("array<string>"))
     every = F.array_distinct(F.concat(domains, paths, F.array(F.concat(F.lit("u:"), address(url)))))
     return F.when(host(url) != "", every).otherwise(F.array().cast("array<string>"))
 
@@ -65,18 +66,21 @@ def period(at: Column, days: int) -> Column:
     return F.floor(F.datediff(at.cast("date"), F.lit("1970-01-01").cast("date")) / days).cast("int")
 
 
-def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url: str = "url", at: str = "fetched_at", period_days: int = PERIOD_DAYS, folders: int = PATH_FOLDERS) -> DataFrame:
+def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url: str = "url", at: str = "fetched_at", period_days: int = PERIOD_DAYS, folders: int | None = PATH_FOLDERS) -> DataFrame:
     """One row per capture: id, ``fetched_at``, ``allowed``, ``verdict``, ``list``, ``pattern``, ``valid_from``, ``n_active``.
 
     Of the entries active at the fetch (from inclusive, to exclusive) the longest pattern decides, then ``allow`` before ``block``, then the list's
     name; ``n_active`` counts them. Captures with a null or host-less URL, or without a fetch time, match nothing and are allowed. Rows are told apart by (id, url, fetch time): repeated
-    rows give repeated rows. Null ids are judged too. Empty tables are fine; other columns are ignored.
+    rows give repeated rows. Null ids are judged too. Empty tables are fine; other columns are ignored. Path entries match up to ``folders`` folders deep;
+    with None all of them do.
     """
     rows = captures.select(F.col(id_col).alias("id"), F.col(url).cast("string").alias("url"), F.col(at).cast("timestamp_ntz").alias("at"))
     # a capture is looked up once, however often it is repeated
     looked = stored(rows.groupBy("url", "at").agg(F.count(F.lit(1)).alias("n")).where("url is not null and at is not null"), "captures")
-    keyed = stored(looked.select("url", "at", period(F.col("at"), period_days).alias("period"), F.explode(url_keys(F.col("url"), folders)).alias("pattern")), "capture-keys")
     valid = stored(intervals(entries).where("valid_from < valid_to"), "intervals")
+    if folders is None:  # no key that matches has more folders than the deepest path entry
+        folders = valid.where("pattern like 'p:%'").agg(F.max(F.size(F.split("pattern", "/")) - 1)).first()[0] or 0
+    keyed = stored(looked.select("url", "at", period(F.col("at"), period_days).alias("period"), F.explode(url_keys(F.col("url"), folders)).alias("pattern")), "capture-keys")
     # an open interval reaches the last period that a capture has
     last = keyed.agg(F.max("period")).first()[0]
     last = 0 if last is None else last
