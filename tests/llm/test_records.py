@@ -223,3 +223,10 @@ def test_deep_path_entries_match(spark):
     assert got == {0: (False, 1), 1: (False, 1), 2: (True, 0), 3: (True, 0), 4: (True, 2)}
     flat = spark.createDataFrame([entry("d:x.org"), entry("u:x.org/a/b")], schema)
     assert {r.page_id: r.n_active for r in url_filters.judge(df, flat, folders=None).collect()} == {0: 1, 1: 1, 2: 2, 3: 1, 4: 1}
+
+
+def test_derived_arguments_hold_whole_words(spark, tmp_path):
+    word = "w" * 600
+    spark.createDataFrame([(1, 0, "assistant", word), (1, 1, "user", "x y")], "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    out = queries.messages(spark, str(tmp_path)).where("role = 'assistant'").first()
+    assert json.loads(out.arguments)["query"] == word

@@ -122,7 +122,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations results are missing, calls wait for later ones, or arguments break their schema.
     """
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    words = F.split(F.substring(F.coalesce("text", F.lit("")), 1, 200), "[ \n]+")
+    words = F.split(F.coalesce("text", F.lit("")), "[ \n]+", 4)  # three words and the rest
     n = F.length(F.coalesce("text", F.lit("")))
     assistant = (F.col("role") == "assistant") & F.col("turn").isNotNull()
     number = lambda x: F.concat(F.lit("c"), x.cast("string"))
