@@ -327,3 +327,13 @@ def test_toxic_words_of_the_tail_are_learned_from_copied_rows(spark):
     # places are for evidence: many frequent clean words do not fill them
     few = noisy_channel.learn_evidence(docs, marks, noisy_channel.learn_chars(docs), limit=40)
     assert set(tail) <= set(few)
+
+
+def test_doubled_letters_are_restored():
+    counts = Counter()
+    for w in ["idiot"] * 9 + ["moron"] * 5 + ["loser"] * 5 + ["the", "dot", "in", "on"] * 20 + ["letter", "butter"] * 20:
+        s = f"^^{w}$"
+        counts.update(s[k : k + 3] for k in range(len(s) - 2))
+    model = noisy_channel.CharModel.of(dict(counts))
+    for token, want in [("iidiot", "idiot"), ("morron", "moron"), ("llooser", "loser"), ("idiott", "idiot"), ("letter", "letter"), ("butter", "butter"), ("dot", "dot")]:
+        assert noisy_channel.restore(token, model) == want

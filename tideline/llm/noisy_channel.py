@@ -46,7 +46,7 @@ SUPPORT = 5
 MEMORY = 600_000
 _SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
 _EDGE = re.compile(r"^[\W_]*[\"'«»().,;:?\[\]{}*%&#]+(?=\w)|(?:[.,;:?!\"'*%&#)\]}»]+|\$\$\$+)+$")
-_RUN = re.compile(r"(.)\1\1")
+_RUN = re.compile(r"(.)\1")
 
 
 @dataclass
@@ -122,7 +122,7 @@ def decode(token: str, model: CharModel) -> str:
 
 
 def restore(token: str, model: CharModel) -> str:
-    """A lower-case token's word: plain tokens lose edge marks only, others are decoded."""
+    """A lower-case token's word: plain tokens without repeated neighbours lose edge marks only, others are decoded."""
     word = _EDGE.sub("", token)
     if word.isalpha() and not _RUN.search(word):
         return word
