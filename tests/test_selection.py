@@ -90,3 +90,18 @@ def test_an_array_of_another_rank_is_reported(spark, tmp_path):
     np.save(tmp_path / "a.npy", np.zeros((2, 2, 2, 2)))
     with pytest.raises(Exception, match="no raster"):
         raster_io.read_arrays(spark, str(tmp_path)).count()
+
+
+def test_lines_of_any_length_come_back_from_feature_lines(spark, tmp_path):
+    """Pieces of four vertices; lines end inside, at and one behind the end of a piece."""
+    from tideline.sources import geojson_io
+
+    sizes = {1: 1, 2: 2, 3: 4, 4: 5, 5: 12, 6: 23}
+    rows = [(k, i * 10, float(i), float(k)) for k, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "line_id bigint, seq bigint, x double, y double")
+    pieces = geometry.lines_in_chunks(df, ["line_id"], F.floor(F.col("seq") / 30), 4)
+    assert pieces.agg(F.max(F.size("line"))).first()[0] == 5
+    geojson_io.write_feature_lines(geojson_io.to_features(pieces, "line", ["line_id", "chunk"]), f"{tmp_path}/out")
+    back = geojson_io.read_feature_lines(spark, f"{tmp_path}/out").select("properties", F.posexplode("line").alias("k", "q")).collect()
+    got = sorted((int(r.properties["line_id"]), int(r.properties["chunk"]) * 4 + r.k - (r.properties["chunk"] > "0"), r.q.x, r.q.y) for r in back if r.properties["chunk"] == "0" or r.k > 0)
+    assert got == [(k, s // 10, x, y) for k, s, x, y in rows if sizes[k] > 1]

@@ -15,6 +15,8 @@ from tideline.functions import geo, lines
 from tideline.operators.skew import nth, ordered_neighbours, running_sum, salted_join
 
 CHUNK = 4096
+#: Vertices of a piece of a line.
+CHUNK_VERTICES = 1024
 
 
 def vertices_of(df: DataFrame, line: str, keys: Sequence[str]) -> DataFrame:
@@ -30,6 +32,18 @@ def lines_of(vertices: DataFrame, keys: Sequence[str], name: str = "line") -> Da
     return vertices.groupBy(*keys).agg(F.transform(pts, lambda p: lines.point(p["x"], p["y"])).alias(name))
 
 
+def lines_in_chunks(vertices: DataFrame, keys: Sequence[str], part: Column, size: int = CHUNK_VERTICES) -> DataFrame:
+    """Vertex table to array geometry in numbered pieces of ``size`` vertices, for lines of any length; ``part`` cuts a line's sequence for the numbering.
+
+    A later piece opens with the last vertex of the one before, so pieces join and hold two vertices at least, but where a line ends with a full
+    piece: there a piece of that one vertex follows. Vertex ``k`` of piece ``chunk`` is the line's vertex ``chunk * size + k``, less one in later pieces.
+    """
+    numbered = running_sum(vertices, keys, ["seq"], part, F.lit(1).cast("bigint"), "_n")
+    chunk = F.floor((F.col("_n") - 1) / size)
+    both = F.when(F.col("_n") % size == 0, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
+    return lines_of(numbered.withColumn("chunk", F.explode(both)), [*keys, "chunk"])
+
+
 def segments(vertices: DataFrame, keys: Sequence[str], chunk: Column | None = None, extra: Sequence[str] = ()) -> DataFrame:
     """One row per consecutive vertex pair: ``seq, x0, y0, x1, y1`` (+ ``extra`` as ``<c>0, <c>1``)."""
     chunk = F.floor(F.col("seq") / CHUNK) if chunk is None else chunk

@@ -174,13 +174,14 @@ def series_files(spark, sf):
 
 @query("geojson_round_trip", f"WITH {p.VERTICES} SELECT line_id, row_number() OVER (PARTITION BY line_id ORDER BY seq) - 1 AS i, x, y FROM vertices QUALIFY count(*) OVER (PARTITION BY line_id) >= 2")
 def geojson_round_trip(spark, sf):
-    path = scratch_path(spark, "geojson")
-    l = geometry.lines_of(p.vertices(spark, sf), ["aoi_id", "line_id"])
-    f = geojson_io.to_features(l, "line", ["line_id"], keep=["aoi_id"])
-    geojson_io.write_geojson(geojson_io.to_collections(f, ["aoi_id"]), path, ["aoi_id"])
-    d = geojson_io.read_geojson(spark, f"{path}/*/*.txt")
-    v = d.select(F.element_at("properties", "line_id").cast("bigint").alias("line_id"), F.posexplode("line").alias("i", "q"))
-    return v.select("line_id", "i", "q.x", "q.y")
+    """Lines in pieces of bounded size, one feature a row."""
+    path, size = scratch_path(spark, "geojson"), geometry.CHUNK_VERTICES
+    l = geometry.lines_in_chunks(p.vertices(spark, sf), ["line_id"], F.shiftright("seq", 40), size)
+    geojson_io.write_feature_lines(geojson_io.to_features(l, "line", ["line_id", "chunk"]), path)
+    prop = lambda c: F.element_at("properties", c).cast("bigint")
+    v = geojson_io.read_feature_lines(spark, path).select(prop("line_id").alias("line_id"), prop("chunk").alias("chunk"), F.posexplode("line").alias("k", "q"))
+    i = F.col("chunk") * size + F.col("k") - F.when(F.col("chunk") > 0, 1).otherwise(0)
+    return v.where("chunk = 0 or k > 0").select("line_id", i.cast("int").alias("i"), "q.x", "q.y")
 
 
 @query("annotation_round_trip", f"WITH {p.VERTICES}, m AS (SELECT line_id, count(*) AS n, sum(x) AS sx, sum(y) AS sy FROM vertices GROUP BY 1 HAVING count(*) >= 2) SELECT line_id, n, {s6('sx')} AS sx, {s6('sy')} AS sy FROM m WHERE line_id % 3 <> 0")

@@ -70,6 +70,12 @@ def write_feature_lines(features: DataFrame, path: str) -> None:
     features.select("feature").write.mode("overwrite").text(path)
 
 
+def read_feature_lines(spark: SparkSession, path: str, geom: str = "line") -> DataFrame:
+    """Line features of newline-delimited files; each feature is one row."""
+    one = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.col("value"), F.lit("]}"))
+    return parse_features(spark.read.text(path).select(one.alias("value")), "value", geom)
+
+
 # --- annotations ---
 
 ANNOTATION = "version string, shapes array<struct<label:string,points:array<array<double>>,shape_type:string,description:string>>, imagePath string, imageWidth int, imageHeight int, _bad string"
