@@ -101,4 +101,82 @@ SELECT k.doc_id, k.source, k.tokens, weight, quota, k.block, passes + CASE WHEN
 FROM k JOIN o ON o.source = k.source AND o.block = k.block
 """
 
-ORACLES = {"op1_url_filters": URLS, "op5_exact_dedup": COPIES, "op6_mixing": MIX, "op7_quality_rules": RULES}
+#: crc32 of a decimal number's text, bit by bit.
+CRC = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split({x}::VARCHAR, ''), lambda c: [ord(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))))"""
+
+
+def _leaf(n_chars: str = "n_chars") -> str:
+    one = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+    return "sha256(" + " || ".join(one.format(c) for c in ("doc_id", "source", "lang", f"({n_chars})", "text")) + ")"
+
+
+MANIFEST = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce('=' || lang, '') AS tree, {_leaf()} AS leaf, {_leaf(f"n_chars + CASE WHEN {CRC.format(x='doc_id')} % 7 = 0 THEN 1 ELSE 0 END")} AS other FROM documents
+), p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, other) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM d),
+t AS (
+  SELECT tree, 0 AS lvl, pos, n, leaf AS h FROM p
+  UNION ALL SELECT tree, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY tree, lvl, pos // 2, n
+), s AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (
+  SELECT 0 AS lvl, pos, n, subroot AS h FROM s
+  UNION ALL SELECT lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY lvl, pos // 2, n
+), c AS (
+  SELECT k, tree, 0 AS lvl, pos, n, other AS acc, '' AS seen FROM p
+  UNION ALL SELECT k, c.tree, c.lvl + 1, c.pos // 2, (c.n + 1) // 2, sha256(CASE WHEN t.h IS NULL THEN acc WHEN t.pos < c.pos THEN t.h || acc ELSE acc || t.h END), seen || coalesce(t.h, '')
+  FROM c LEFT JOIN t ON t.tree = c.tree AND t.lvl = c.lvl AND t.pos = xor(c.pos, 1) WHERE c.n > 1
+), e AS (
+  SELECT k, 0 AS lvl, s.pos, s.n, acc, seen FROM c JOIN s ON s.tree = c.tree WHERE c.n = 1
+  UNION ALL SELECT k, e.lvl + 1, e.pos // 2, (e.n + 1) // 2, sha256(CASE WHEN u.h IS NULL THEN acc WHEN u.pos < e.pos THEN u.h || acc ELSE acc || u.h END), seen || coalesce(u.h, '')
+  FROM e LEFT JOIN u ON u.lvl = e.lvl AND u.pos = xor(e.pos, 1) WHERE e.n > 1
+)
+SELECT doc_id, leaf, subroot, u.h AS root, sha256(seen) AS proof_sha256, acc AS folded_root, acc = u.h AS verified
+FROM p JOIN s USING (tree) JOIN e ON e.k = p.k AND e.n = 1 JOIN u ON u.n = 1
+"""
+
+CALLS = "tel|phone|call|fax|mobile|cell|telefon|ruf|llam|appel|sms"
+DIGITS_OF = "regexp_replace(hit, '[^0-9]', '', 'g')"
+LUHN = f"length({DIGITS_OF}) BETWEEN 13 AND 19 AND list_sum(list_transform(string_split(reverse({DIGITS_OF}), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN c::INT WHEN c::INT > 4 THEN c::INT * 2 - 9 ELSE c::INT * 2 END)) % 10 = 0"
+OCTETS = r"regexp_matches(hit, '^(0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})([.]|$)){4}$')"
+
+
+def _kind(name: str, pattern: str, start: int, valid: str, helps: str, harms: str, base: bool = True, left: str = "", right: str = "", end: str = "hit") -> str:
+    """Rows (doc_id, place, kind, start, end, score, base) of one kind."""
+    sides = (f" AND NOT regexp_matches(before, '{left}\\z')" if left else "") + (f" AND NOT regexp_matches(behind, '^{right}')" if right else "")
+    near = "lower(right(before, 40) || ' ' || left(behind, 20))"
+    return f"""
+SELECT doc_id, k, '{name}' AS kind, pos AS a, pos + length({end}) AS b, least(100, {start} + CASE WHEN regexp_matches({near}, '{helps}') THEN 30 ELSE 0 END - CASE WHEN regexp_matches({near}, '{harms}') THEN 25 ELSE 0 END) AS score, {base} AS base
+FROM (SELECT doc_id, k, hits[i] AS hit, gaps[i] AS before, gaps[i + 1] AS behind, list_sum(list_transform(gaps[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[:i - 1], lambda x: length(x))), 0) AS pos
+  FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT doc_id, k, regexp_extract_all(t, '{pattern}') AS hits, regexp_split_to_array(t, '{pattern}') AS gaps FROM d)))
+WHERE ({valid}){sides}"""
+
+
+_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 "
+    "GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 "
+    "PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+)
+CUT = f"regexp_extract(hit, '^([A-Z0-9] ?){{' || (coalesce(try_cast(regexp_extract('{_LENGTHS}', left(hit, 2) || '([0-9]{{2}})', 1) AS INT), 500) - 1) || '}}[A-Z0-9]')"
+MOD97 = f"""CUT <> '' AND list_reduce(list_concat([0], list_transform(string_split(regexp_replace(substr(CUT, 5) || left(CUT, 4), ' ', '', 'g'), ''), lambda c: CASE WHEN c >= 'A' THEN ord(c) - 55 ELSE ord(c) - 48 END)),
+  lambda a, v: CASE WHEN v > 9 THEN (a * 100 + v) % 97 ELSE (a * 10 + v) % 97 END) = 1"""
+KINDS = ["email", "ip", "card", "phone", "iban", "ssn", "tel"]
+PERSONAL = " UNION ALL ".join([
+    _kind("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+", 60, "true", "mail|contact|write|kontakt|correo|courriel", "example|beispiel|ejemplo|exemple"),
+    _kind("ip", "[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+", 60, OCTETS, "(^|[^a-z])ip([^a-z]|$)|address|host|server|adresse|client", "version|section|chapter|release"),
+    _kind("card", "[0-9](?:[ -]?[0-9])+", 70, LUHN, "card|visa|master|credit|karte|tarjeta|carte", "order|isbn|serial|tracking|parcel"),
+    _kind("phone", "[+][0-9][ ().0-9-]+[0-9]", 60, f"length({DIGITS_OF}) BETWEEN 9 AND 15", CALLS, "order|isbn|serial|score"),
+    _kind("iban", "[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)", 75, MOD97.replace("CUT", "cut"), "iban|account|bank|konto|cuenta|compte", "example|serial", False, "[A-Za-z0-9]", end="cut").replace("hits[i] AS hit,", "hits[i] AS hit, " + CUT.replace("hit,", "hits[i],") + " AS cut,"),
+    _kind("ssn", "[0-9]{3}-[0-9]{2}-[0-9]{4}", 30, "NOT regexp_matches(hit, '^(000|666|9)|-00-|-0000$')", "ssn|social|security|tax", "order|part|serial", False, "[0-9-]", "[0-9-]"),
+    _kind("tel", "[(]?0[1-9][0-9]{1,3}[)]?[ /.-]?[0-9]{3,4}[ .-]?[0-9]{3,4}", 30, f"length({DIGITS_OF}) BETWEEN 9 AND 12", CALLS, "order|isbn|serial|article", False, "[0-9+().-]", "[0-9]"),
+])
+_COUNTS = ", ".join(f"coalesce(count(*) FILTER (kind = '{k}'), 0) AS n_{k}" for k in KINDS)
+_ORDER = f"list_position({KINDS}, kind), a"
+PII = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents), s AS ({PERSONAL}), f AS (SELECT * FROM s WHERE base OR score >= 50)
+SELECT d.doc_id, {_COUNTS}, sha256(coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY {_ORDER}) FILTER (base), '')) AS base_sha256,
+  coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY {_ORDER}), '') AS spans, coalesce(string_agg(score::VARCHAR, ',' ORDER BY {_ORDER}), '') AS scores
+FROM d LEFT JOIN f ON f.k = d.k GROUP BY d.k, d.doc_id
+"""
+
+ORACLES = {"op1_url_filters": URLS, "op5_exact_dedup": COPIES, "op6_mixing": MIX, "op7_quality_rules": RULES, "op11_pii": PII, "op13_merkle_manifest": MANIFEST}

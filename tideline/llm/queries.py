@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import chosen_path, hash_index, line_chunks, mixing, noisy_channel, oracles, pieces, rank_profiles, rule_cascade, tool_calls, url_filters
+from tideline.llm import chosen_path, hash_index, line_chunks, merkle_manifest, mixing, noisy_channel, oracles, periodic_runs, personal_data, pieces, rank_profiles, rule_cascade, tool_calls, url_filters
 
 #: Where the public tokenizer files lie; a parameter of operator 8.
 TOKENIZER = os.environ.get("TIDELINE_TOKENIZER", "/opt/tokenizers/piece_bpe_32k.model")
@@ -146,7 +146,24 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("conv").alias("conv_id"), "turn", "kind", "call", "status", "depth", "place", "json")
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.digest(personal_data.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    # tampering adds 1 to the number of characters of every seventh id by its crc32
+    struck = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    altered = merkle_manifest.leaf_hash(*(F.col(c) + struck.cast("int") if c == "n_chars" else F.col(c) for c in fields))
+    return merkle_manifest.verify(merkle_manifest.manifest(docs, fields, "lang", ["doc_id"], altered=altered))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filters, op2_chosen_path_join, op3_line_dedup, op4_toxicity, op5_exact_dedup, op6_mixing, op7_quality_rules, op8_sentencepiece, op9_language_id, op10_tool_calls)
+    f.__name__: f for f in (op1_url_filters, op2_chosen_path_join, op3_line_dedup, op4_toxicity, op5_exact_dedup, op6_mixing, op7_quality_rules, op8_sentencepiece, op9_language_id, op10_tool_calls, op11_pii, op12_periodic_runs, op13_merkle_manifest)
 }
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
