@@ -13,7 +13,7 @@ from tideline.registry import query, r3, r6, s3, s6
 from tideline.registry.raster import IDX, indexed, scene_frames
 from tideline.registry.scalar import PLACES, places
 from tideline.sources import geojson_io, raster_io, tables
-from tideline.streaming import jobs, twin
+from tideline.streaming import heartbeat, jobs, twin
 
 
 def _meta(spark, sf):
@@ -134,26 +134,45 @@ def deduplicated_stream(spark, sf):
 
 @query("assimilated_state", f"WITH {p.OBS} SELECT aoi_id, count(*) AS n_rows, {s6('sum(ve)')} AS sum_ve, max(datetime) AS last_scene_datetime, count(*) AS timeseries_rows FROM obs GROUP BY aoi_id")
 def assimilated_state(spark, sf):
-    """The feed assimilated batch by batch, then folded; replaying a batch changes nothing."""
-    state = twin.TwinState(spark, scratch_path(spark, "twin"))
-    clock = F.lit("2024-02-01").cast("timestamp")
-    twin.assimilate(_obs_stream(spark, sf), state, scratch_path(spark, "twin-cp"), lambda b: b, clock).awaitTermination()
-    state.compact({"series": twin.KEYS, "meta": ["aoi_id"]})
-    rows = state.read("series", twin.KEYS).groupBy("aoi_id").agg(F.count("*").alias("n_rows"), r6(F.sum("ve")).alias("sum_ve"))
-    return rows.join(state.read("meta", ["aoi_id"]).select("aoi_id", "last_scene_datetime", "timeseries_rows"), "aoi_id")
+    """The whole feed assimilated by the stream in one poll."""
+    ledger = heartbeat.Ledger(spark, scratch_path(spark, "twin"))
+    feed = _obs_stream(spark, sf).withColumn("polled_at", F.lit("2024-02-01").cast("timestamp"))
+    heartbeat.follow(feed, ledger, scratch_path(spark, "twin-cp"), lambda b: b).awaitTermination()
+    rows = ledger.read("series").groupBy("aoi_id").agg(F.count("*").alias("n_rows"), r6(F.sum("ve")).alias("sum_ve"))
+    return rows.join(ledger.areas().select("aoi_id", "last_scene_datetime", "timeseries_rows"), "aoi_id")
 
 
-@query("assimilation_cycles", f"""WITH {p.OBS}, o AS (SELECT *, (day(datetime) - 1) // 8 AS b FROM obs),
+HELD = f"""WITH {p.OBS}, o AS (SELECT *, (day(datetime) - 1) // 8 AS b FROM obs),
   n AS (SELECT aoi_id, b, count(*) FILTER (scene_id % 97 <> 0) AS new_scenes, count(*) FILTER (scene_id % 97 = 0) AS held, count(*) FILTER (scene_id % 50 = 0 AND scene_id % 97 <> 0) AS again FROM o GROUP BY ALL)
-  SELECT aoi_id, b AS cycle, 'updated' AS reason, new_scenes, coalesce(lag(held) OVER w, 0) AS late_scenes, coalesce(lag(again) OVER w, 0) AS known_scenes, sum(new_scenes) OVER w AS timeseries_rows FROM n WINDOW w AS (PARTITION BY aoi_id ORDER BY b)""")
+  SELECT aoi_id, b AS cycle, 'updated' AS reason, new_scenes, coalesce(lag(held) OVER w, 0) AS late_scenes, coalesce(lag(again) OVER w, 0) AS known_scenes, sum(new_scenes) OVER w AS timeseries_rows FROM n WINDOW w AS (PARTITION BY aoi_id ORDER BY b)"""
+
+
+def _feed(spark, sf, b):
+    """Scenes of the ``b``-th eight days with what the days before held back or give again."""
+    o = p.obs(spark, sf).withColumn("_b", F.floor((F.dayofmonth("datetime") - 1) / 8))
+    held, again = F.col("scene_id") % 97 == 0, (F.col("scene_id") % 50 == 0) & (F.col("scene_id") % 97 != 0)
+    return o.filter(((F.col("_b") == b) & ~held) | ((F.col("_b") == b - 1) & (held | again))).drop("_b")
+
+
+@query("heartbeat_stream", HELD)
+def heartbeat_stream(spark, sf):
+    """Four polls of eight days each through one stream with its state; scenes held back come late, some come twice, and the stream starts once more without new files."""
+    ledger, place, cp = heartbeat.Ledger(spark, scratch_path(spark, "heartbeat")), scratch_path(spark, "polls"), scratch_path(spark, "heartbeat-cp")
+    schema = p.obs(spark, sf).withColumn("polled_at", F.col("datetime")).schema
+    for b in (0, 1, None, 2, 3):
+        if b is not None:
+            _feed(spark, sf, b).withColumn("polled_at", F.lit(f"2024-01-{min(8 * b + 8, 31)} 23:59:59").cast("timestamp")).write.mode("append").parquet(place)
+        heartbeat.follow(spark.readStream.schema(schema).parquet(place), ledger, cp, lambda d: d).awaitTermination()
+    s = ledger.read("status").withColumn("cycle", F.floor((F.dayofmonth("at") - 1) / 8))
+    return s.select("aoi_id", "cycle", "reason", "new_scenes", "late_scenes", "known_scenes", "timeseries_rows")
+
+
+@query("assimilation_cycles", HELD)
 def assimilation_cycles(spark, sf):
     """Four cycles of eight days each; scenes held back come late, some come twice, and one cycle is replayed."""
     state = twin.TwinState(spark, scratch_path(spark, "cycles"))
-    o = p.obs(spark, sf).withColumn("_b", F.floor((F.dayofmonth("datetime") - 1) / 8))
-    held, again = F.col("scene_id") % 97 == 0, (F.col("scene_id") % 50 == 0) & (F.col("scene_id") % 97 != 0)
     for b in (0, 1, 1, 2, 3):
-        feed = o.filter(((F.col("_b") == b) & ~held) | ((F.col("_b") == b - 1) & (held | again))).drop("_b")
-        twin.cycle(state, b, feed, lambda d: d, F.lit(f"2024-01-{min(8 * b + 8, 31)} 23:59:59").cast("timestamp"), f"cycle{b}")
+        twin.cycle(state, b, _feed(spark, sf, b), lambda d: d, F.lit(f"2024-01-{min(8 * b + 8, 31)} 23:59:59").cast("timestamp"), f"cycle{b}")
     s = state.read("status", ["aoi_id", "cycle"])
     return s.select("aoi_id", "cycle", "reason", "new_scenes", "late_scenes", "known_scenes", "timeseries_rows")
 

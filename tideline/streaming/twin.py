@@ -121,7 +121,7 @@ def upsert_batch(state: TwinState, batch_id: int, rows: DataFrame, now: Column,
     """One assimilation step: new scenes of the batch into the state, with its outcome.
 
     ``rows``: observation rows; repeated keys inside a batch keep the last ``_seq``. Scenes
-    already known are dropped, as are scenes older than their AOI's last one.
+    already known are dropped, as are scenes older than their AOI's last one. The index of scenes is read, not the series. ``heartbeat.follow`` is the streaming form.
     """
     if state.done(batch_id):
         return "replayed"
@@ -131,9 +131,9 @@ def upsert_batch(state: TwinState, batch_id: int, rows: DataFrame, now: Column,
     fresh = selection.upsert(rows.limit(0), rows, KEYS).join(old_meta.select("aoi_id", "last_scene_datetime"), "aoi_id", "left")
     late = F.col("last_scene_datetime").isNotNull() & (F.col("datetime") <= F.col("last_scene_datetime"))
     fresh = fresh.filter(~late).drop("last_scene_datetime")
-    known = state.read("series", KEYS)
+    known = state.read("scenes", ["aoi_id", "scene_id"])
     if known is not None:
-        fresh = fresh.join(known.select("aoi_id", "scene_id").distinct(), ["aoi_id", "scene_id"], "left_anti")
+        fresh = fresh.join(known.select("aoi_id", "scene_id"), ["aoi_id", "scene_id"], "left_anti")
     fresh = fresh.persist()
     try:
         if fresh.isEmpty():
@@ -145,25 +145,12 @@ def upsert_batch(state: TwinState, batch_id: int, rows: DataFrame, now: Column,
             "aoi_id", "last_scene_datetime", (F.col("_add") + F.coalesce("_had", F.lit(0))).alias("timeseries_rows"), now.alias("last_assimilation_at"), F.lit(run_id).alias("last_run_id")
         )
         meta = advance_meta(old_meta.join(delta.select("aoi_id"), "aoi_id", "left_semi"), delta)
-        state.write(batch_id, {"series": fresh, "meta": meta})
+        state.write(batch_id, {"series": fresh, "meta": meta, "scenes": fresh.select("aoi_id", "scene_id").distinct()})
         return "updated"
     finally:
         fresh.unpersist()
 
 
-def assimilate(stream: DataFrame, state: TwinState, checkpoint: str, extract: Callable[[DataFrame], DataFrame], now: Column | None = None):
-    """Start the cycle over a stream of scenes; ``extract`` gives observation rows of a batch.
-
-    Runs what is available and stops; the sink is idempotent on the batch id.
-    """
-    clock = F.current_timestamp() if now is None else now
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        upsert_batch(state, batch_id, extract(batch), clock, f"assimilate_{batch_id}")
-
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def cycle(
     state: TwinState, batch_id: int, scenes: DataFrame, extract: Callable[[DataFrame], DataFrame], now: Column, run_id: str,
     transects: DataFrame | None = None, lines: DataFrame | None = None, lookback_days: int = 45, min_rows: int = 200, interval_days: int = 180,
@@ -220,7 +207,7 @@ def cycle(
         F.when(updated, F.lit(run_id)).otherwise(F.col("last_run_id")).alias("last_run_id"), "last_retrained_at", "active_model_run_id", total.cast("bigint").alias("timeseries_rows"),
     )
     status = both.select("aoi_id", F.lit(int(batch_id)).cast("bigint").alias("cycle"), F.when(updated, "updated").otherwise("no_update").alias("status"), "reason", "new_scenes", "late_scenes", "known_scenes", total.cast("bigint").alias("timeseries_rows"), "retrain")
-    tables = {"series": rows, "meta": meta, "status": status, "scenes": rows.select("aoi_id", "scene_id").distinct()}
+    tables = {"series": rows, "meta": meta, "status": status, "scenes": fresh.select("aoi_id", "scene_id").distinct()}
     if first is not None:
         tables["transects"] = first
     if lines is not None:
