@@ -12,8 +12,9 @@ from __future__ import annotations
 import hashlib
 import math
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.tables import stored
@@ -41,8 +42,8 @@ def tree_name(group: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), group.cast("string")), F.lit(""))
 
 
-def placed(leaves: DataFrame, order: list[str]) -> DataFrame:
-    """``leaves`` (tree, hash, …) with ``pos``, their place in their tree by ``order`` from 0, and ``n``, its size.
+def placed(leaves: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
+    """``leaves`` (tree, hash, …) with ``pos``, their place in their tree by ``order`` from 0, and ``n``, its size; and how many there are.
 
     A range partitioning sorts all trees at once; a row's place is its place in its partition plus the rows of its tree in earlier partitions. Partitions
     hold consecutive trees, so there are at most as many (partition, tree) counts as partitions and trees together.
@@ -54,11 +55,12 @@ def placed(leaves: DataFrame, order: list[str]) -> DataFrame:
     row = stored(row, "leaf-order")
     part = F.shiftright("_at", 33)
     counts = stored(row.groupBy("tree", part.alias("_part")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")), "leaf-counts")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
     before = Window.partitionBy("tree").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("tree")
     offsets = counts.select("tree", F.col("_part"), "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("n"))
     found = row.withColumn("_part", part).join(offsets, ["tree", "_part"])
-    return found.withColumn("pos", F.col("_at") - F.col("_first") + F.col("_before")).drop("_at", "_first", "_before", "_part")
+    return found.withColumn("pos", F.col("_at") - F.col("_first") + F.col("_before")).drop("_at", "_first", "_before", "_part"), total
 
 
 def _digest(*parts: bytes) -> bytes:
@@ -79,32 +81,32 @@ def _climbed(hashes: list[bytes], steps: int) -> tuple[list[bytes], bytes]:
 
 
 def band(nodes: DataFrame, width: int) -> DataFrame:
-    """(tree, block, pos, way, above): ``nodes`` (tree, pos, n, hash binary) in blocks of 2 ** width, and the hash where a block's ways end."""
-    blocks = nodes.select("tree", F.shiftright("pos", width).alias("block"), "pos", "n", "hash")
+    """``nodes`` (tree, pos, n, hash binary, …) with ``way``, and on a block's first row ``above``, the hash where the ways of its 2 ** width nodes end."""
+    cols = [c for c in nodes.columns if c not in ("tree", "pos", "n", "hash")]
+    blocks = nodes.select(F.shiftright("pos", width).alias("_block"), "tree", "pos", "n", "hash", *cols)
 
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        steps = min(width, max(0, math.ceil(math.log2(int(rows["n"].iloc[0])))))
-        ways, above = _climbed([bytes(h) for h in rows["hash"]], steps)
-        return pd.DataFrame({"tree": rows["tree"], "block": rows["block"], "pos": rows["pos"], "way": ways, "above": [above if i == 0 else None for i in range(len(ways))]})
+    def build(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, [("pos", "ascending")])).drop_columns("_block")
+        steps = min(width, (rows["n"][0].as_py() - 1).bit_length())
+        ways, above = _climbed(rows["hash"].to_pylist(), steps)
+        more = pa.array([above] + [None] * (len(ways) - 1), pa.binary())
+        return rows.append_column("way", pa.array(ways, pa.binary())).append_column("above", more)
 
-    return blocks.groupBy("tree", "block").applyInPandas(build, "tree string, block bigint, pos bigint, way binary, above binary")
+    kinds = ", ".join(f"{c} {nodes.schema[c].dataType.simpleString()}" for c in ("tree", "pos", "n", "hash", *cols))
+    return blocks.groupBy("tree", "_block").applyInArrow(build, f"{kinds}, way binary, above binary")
 
 
 def levels(leaves: DataFrame, width: int) -> tuple[list[DataFrame], DataFrame]:
-    """Node rows (tree, band, pos, way) of every band, and the trees' roots (tree, band, root). ``leaves`` has tree, pos, n and hash (binary).
+    """Node rows (tree, pos, n, hash, …, way) of every band, and the trees' roots (tree, bands, root). ``leaves`` has tree, pos, n, hash (binary) and what else its rows keep.
 
-    A tree of one leaf has a first band without a level, so every tree ends one band above a band it has.
+    A tree of one leaf has one band without a level.
     """
-    bands, roots, now, number = [], None, leaves, 0
+    bands, roots, now = [], None, leaves
     while True:
         built = stored(band(now, width), "band")
-        bands.append(built.select("tree", F.lit(number).alias("band"), "pos", "way"))
-        up = built.where("above is not null").select("tree", F.col("block").alias("pos"), F.col("above").alias("hash"))
-        size = now.select("tree", "n").distinct() if number else now.groupBy("tree").agg(F.first("n").alias("n"))
-        up = stored(up.join(size, "tree").withColumn("n", F.ceil(F.col("n") / (1 << width)).cast("bigint")), "band-ends")
-        number += 1
-        ended = up.where("n = 1").select("tree", F.lit(number).alias("band"), F.col("hash").alias("root"))
+        bands.append(built.drop("above"))
+        up = built.where("above is not null").select("tree", F.shiftright("pos", width).alias("pos"), F.ceil(F.col("n") / (1 << width)).cast("bigint").alias("n"), F.col("above").alias("hash"))
+        ended = up.where("n = 1").select("tree", F.lit(len(bands)).alias("bands"), F.col("hash").alias("root"))
         roots = ended if roots is None else roots.unionByName(ended)
         now = up.where("n > 1")
         if now.isEmpty():
@@ -128,19 +130,18 @@ def siblings(way: Column) -> Column:
     return F.when(steps == 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(steps, F.lit(1)) - 1), one), ""))
 
 
-def _climb(spark: SparkSession, starts: DataFrame, upper: DataFrame) -> DataFrame:
-    """(id…, way, subroot, root) of every start: the recursive query ascends the links and appends the ways."""
-    small = upper.count() <= BROADCAST_NODES
+def _climb(starts: DataFrame, upper: DataFrame, small: bool) -> DataFrame:
+    """(k, way, subroot, root) of every start: the recursive query ascends the links, appends the ways and notes where a tree ends."""
     hint = "/*+ BROADCAST(nodes) */" if small else ""
     text = f"""
     WITH RECURSIVE climb(k, tree, band, pos, way, subroot, root) AS (
-      SELECT k, tree, 1, up, way, CAST(NULL AS BINARY), CAST(NULL AS BINARY) FROM {{starts}}
+      SELECT k, next_tree, next_band, next_pos, way, ended, CAST(NULL AS BINARY) FROM {{starts}}
       UNION ALL
       SELECT {hint} climb.k, nodes.next_tree, nodes.next_band, nodes.next_pos, climb.way || nodes.way, COALESCE(climb.subroot, nodes.ended), CASE WHEN nodes.next_tree IS NULL THEN nodes.ended END
       FROM climb JOIN {{nodes}} AS nodes ON climb.tree = nodes.tree AND climb.band = nodes.band AND climb.pos = nodes.pos
     )
     SELECT k, way, subroot, root FROM climb WHERE tree IS NULL"""
-    limit = "spark.sql.cteRecursionRowLimit"
+    spark, limit = starts.sparkSession, "spark.sql.cteRecursionRowLimit"
     before = spark.conf.get(limit)
     spark.conf.set(limit, "-1")  # the rows of a climb are those of the table, and it ends with the trees' height
     try:
@@ -156,34 +157,41 @@ def manifest(df: DataFrame, fields: list[str], group: str, order: list[str], kee
     place of the true one. Null groups form a tree of their own, before all others. Null or repeated ids, empty and long texts and further columns change nothing. An empty
     table gives an empty result. One group may hold nearly all rows; a task orders a range and hashes blocks of 2 ** width leaves.
     """
-    spark = df.sparkSession
     keep = keep if keep is not None else {c: F.col(c) for c in order}
-    leaf = leaf_hash(*map(F.col, fields))
-    row = df.select(tree_name(F.col(group)).alias("tree"), F.unhex(leaf).alias("hash"), *(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), F.unhex(leaf if altered is None else altered).alias("other"), *(x.alias(f"k{i}") for i, x in enumerate(keep.values())))
-    leaves = stored(placed(row, [*(f"o{i}" for i in range(len(order))), "hash", "other"]), "leaves")
-    if leaves.isEmpty():
-        return leaves.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *(F.lit("").alias(c) for c in ("leaf", "subroot", "root")), F.col("hash").alias("way"), F.lit("").alias("folded"), F.lit("").alias("altered_leaf"))
+    leaf, names = leaf_hash(*map(F.col, fields)), [f"k{i}" for i in range(len(keep))]
+    keys = [f"o{i}" for i in range(len(order))]
+    row = df.select(
+        tree_name(F.col(group)).alias("tree"), F.unhex(leaf).alias("hash"), F.unhex(leaf if altered is None else altered).alias("other"),
+        *(F.col(c).alias(k) for c, k in zip(order, keys)), *(x.alias(n) for x, n in zip(keep.values(), names)),
+    )
+    leaves, total = placed(row, [*keys, "hash", "other"])
     if width is None:
-        width = min(MOST_WIDTH, max(LEAST_WIDTH, math.ceil(math.log2(leaves.count() / UPPER_NODES))))
-    bands, roots = levels(leaves.select("tree", "pos", "n", "hash"), width)
+        width = min(MOST_WIDTH, max(LEAST_WIDTH, math.ceil(math.log2(max(total, 1) / UPPER_NODES))))
+    bands, roots = levels(leaves.drop(*keys), width)
     roots = stored(roots, "subroots")
-    tops = stored(placed(roots.select(F.lit(TOP).alias("tree"), F.col("root").alias("hash"), F.col("tree").alias("group")), ["group"]), "top-leaves")
+    tops, groups = placed(roots.select(F.lit(TOP).alias("tree"), F.col("root").alias("hash"), F.col("tree").alias("group"), "bands"), ["group"])
+    tops = stored(tops, "top-leaves")
     above, crown = levels(tops.select("tree", "pos", "n", "hash"), width)
-    up = F.shiftright("pos", width)
-    inner = lambda b, no: b.select("tree", "band", "pos", "way", F.col("tree").alias("next_tree"), F.lit(no + 1).alias("next_band"), up.alias("next_pos"), F.lit(None).cast("binary").alias("ended"))
-    # a group's root leads to its leaf of the top tree; the table's root leads nowhere
-    linked = roots.join(tops.select(F.col("group").alias("tree"), F.col("pos").alias("next_pos")), "tree")
-    ends = linked.select("tree", "band", F.lit(0).cast("bigint").alias("pos"), F.unhex(F.lit("")).alias("way"), F.lit(TOP).alias("next_tree"), F.lit(0).alias("next_band"), "next_pos", F.col("root").alias("ended"))
-    last = crown.select("tree", "band", F.lit(0).cast("bigint").alias("pos"), F.unhex(F.lit("")).alias("way"), F.lit(None).cast("string").alias("next_tree"), F.lit(None).cast("int").alias("next_band"), F.lit(None).cast("bigint").alias("next_pos"), F.col("root").alias("ended"))
-    upper = ends.unionByName(last)
-    for no, b in enumerate(bands[1:], 1):
-        upper = upper.unionByName(inner(b, no))
-    for no, b in enumerate(above):
-        upper = upper.unionByName(inner(b, no))
+    # where a tree's last band leads: a group's to its leaf of the top tree, the top tree's nowhere
+    out_of = tops.select(F.col("group").alias("tree"), "bands", F.col("hash").alias("root"), F.lit(TOP).alias("to_tree"), F.col("pos").alias("to_pos"))
+    out_of = stored(out_of.unionByName(crown.select("tree", "bands", "root", F.lit(None).cast("string").alias("to_tree"), F.lit(None).cast("bigint").alias("to_pos"))), "tree-ends")
+
+    def linked(nodes: DataFrame, number: int) -> DataFrame:
+        """Node rows with the node that their way ends in."""
+        ends = F.broadcast(out_of) if groups < BROADCAST_NODES else out_of
+        row = nodes.join(ends, "tree").withColumn("_last", F.col("bands") == number + 1)
+        return row.withColumns({
+            "band": F.lit(number), "next_tree": F.when(F.col("_last"), F.col("to_tree")).otherwise(F.col("tree")), "next_band": F.when(F.col("_last"), 0).otherwise(number + 1),
+            "next_pos": F.when(F.col("_last"), F.col("to_pos")).otherwise(F.shiftright("pos", width)), "ended": F.when(F.col("_last"), F.col("root")),
+        })
+
+    upper = None
+    for b in [*((b, i) for i, b in enumerate(bands[1:], 1)), *((b, i) for i, b in enumerate(above))]:
+        rows = linked(*b).select("tree", "band", "pos", "way", "next_tree", "next_band", "next_pos", "ended")
+        upper = rows if upper is None else upper.unionByName(rows)
     upper = stored(upper, "nodes")
-    names = [f"k{i}" for i in range(len(keep))]
-    starts = leaves.join(bands[0].drop("band"), ["tree", "pos"]).select(F.struct("hash", "other", *names).alias("k"), "tree", up.alias("up"), "way")
-    out = _climb(spark, stored(starts, "climb-starts"), upper)
+    starts = linked(bands[0], 0).select(F.struct("hash", "other", *names).alias("k"), "next_tree", "next_band", "next_pos", "way", "ended")
+    out = _climb(starts, upper, upper.count() <= BROADCAST_NODES)
     text = lambda c: F.lower(F.hex(c))
     other = text(F.col("k.other"))
     return out.select(
