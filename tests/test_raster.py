@@ -1,6 +1,7 @@
 """Pixel, contour and geometry operators on small rasters with known answers."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tideline.operators import components, contours, geometry, profiles, raster, skew, spatial, thresholds
@@ -120,3 +121,69 @@ def test_nearest_distances_equal_brute_force(spark):
     got = {r.i: r.distance for r in spatial.nearest_segment(mk(p), mk(q), ["k", "i"], ["k"], 10.0).collect()}
     want = np.sqrt(((p[:, None] - q[None]) ** 2).sum(-1)).min(1)
     assert len(got) == 60 and all(abs(got[i] - want[i]) < 1e-9 for i in got)
+
+
+def brute_components(cells, reach):
+    """Component ids (row << 32 | first column of the first run) by flood fill."""
+    left, out = set(cells), {}
+    steps = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i or j) and (reach == 8 or not (i and j))]
+    while left:
+        todo = [left.pop()]
+        found = []
+        while todo:
+            r, c = todo.pop()
+            found.append((r, c))
+            for i, j in steps:
+                if (r + i, c + j) in left:
+                    left.remove((r + i, c + j))
+                    todo.append((r + i, c + j))
+        r, c = min(found)
+        out |= {x: (r << 32) + c for x in found}
+    return out
+
+
+@pytest.mark.parametrize("tile", [3, 5, 256])
+def test_components_over_tile_borders_match_flood_fill(spark, monkeypatch, tile):
+    import random
+
+    from tideline.operators import components
+
+    monkeypatch.setattr(components, "TILE", tile)
+    rng = random.Random(5)
+    scenes = {f"s{k}": {(r, c) for r in range(17) for c in range(19) if rng.random() < share} for k, share in enumerate((0.3, 0.45, 0.6, 0.9))}
+    scenes["comb"] = {(r, c) for r in range(17) for c in range(19) if c % 2 == 0 or r == 16}
+    scenes["steps"] = {(k, k) for k in range(16)} | {(k, 17 - k) for k in range(8)}
+    rows = [(s, r, c) for s, cells in scenes.items() for r, c in cells]
+    mask = spark.createDataFrame(rows + rows[:9], "scene_id string, row int, col int")
+    for reach in (4, 8):
+        want = {(s, *x): v for s, cells in scenes.items() for x, v in brute_components(cells, reach).items()}
+        assert {(r.scene_id, r.row, r.col): r.component for r in components.components(mask, ["scene_id"], reach).collect()} == want
+    sizes = {}
+    for (s, *_), v in want.items():
+        sizes[s, v] = sizes.get((s, v), 0) + 1
+    big = {(s, r, c) for (s, r, c), v in want.items() if sizes[s, v] >= 5}
+    assert {tuple(r) for r in components.remove_small(mask, ["scene_id"], 5).collect()} == big
+    assert components.components(mask.where("false"), ["scene_id"]).count() == 0
+
+
+def test_morphology_matches_brute_force(spark):
+    import random
+
+    from tideline.operators import raster
+
+    rng = random.Random(6)
+    h, w = 13, 15
+    scenes = {f"s{k}": {(r, c) for r in range(h) for c in range(w) if rng.random() < share} for k, share in enumerate((0.03, 0.5, 0.97))}
+    rows = [(1, s, r, c, h, w) for s, cells in scenes.items() for r, c in cells]
+    mask = spark.createDataFrame(rows + rows[:5], "aoi_id int, scene_id string, row int, col int, height int, width int")
+    square, cross = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)], [(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)]
+    for offsets in (raster.disk(1), raster.disk(2), raster.disk(5), square, cross):
+        for s, cells in scenes.items():
+            frame = {(r, c) for r in range(h) for c in range(w)}
+            one = mask.where(f"scene_id = '{s}'")
+            got = lambda d: {(r.row, r.col) for r in d.collect()}
+            assert got(raster.dilate(one, 0, offsets=offsets)) == {(r + i, c + j) for r, c in cells for i, j in offsets} & frame
+            assert got(raster.erode(one, 0, offsets=offsets)) == {(r, c) for r, c in frame if all((r + i, c + j) in cells or (r + i, c + j) not in frame for i, j in offsets)}
+            assert got(raster.erode(one, 0, offsets=offsets, outside=False)) == {(r, c) for r, c in frame if all((r + i, c + j) in cells for i, j in offsets)}
+    with pytest.raises(ValueError):
+        raster.half_widths([(0, 1), (0, 0)])

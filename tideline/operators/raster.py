@@ -449,40 +449,55 @@ def disk(radius: int) -> list[tuple[int, int]]:
     return [(i, j) for i in r for j in r if i * i + j * j <= radius * radius]
 
 
-def _offsets(offsets: Sequence[tuple[int, int]]) -> Column:
-    return F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in offsets])
+def half_widths(offsets: Sequence[tuple[int, int]]) -> dict[int, int]:
+    """Half width of a structuring element in each row; its rows must be unbroken and symmetric."""
+    out: dict[int, int] = {}
+    for i, j in offsets:
+        out[i] = max(out.get(i, 0), abs(j))
+    if sorted(set(offsets)) != sorted((i, j) for i, w in out.items() for j in range(-w, w + 1)):
+        raise ValueError("rows of a structuring element must be unbroken and symmetric")
+    return out
+
+
+def _swept(mask: DataFrame, keys: Sequence[str], widths: dict[int, int], grow: bool, outside: bool) -> DataFrame:
+    """Pixels that enough moved runs cover: any when growing, else one from every row of the element.
+
+    Every run of a row is moved once per row of the element and widened or narrowed there; a sweep along each raster row counts the runs that
+    lie over a place. Pixels are not copied. Runs of one row of the element never overlap when narrowed, so the count is that of the element's rows.
+    """
+    from tideline.operators.components import row_runs
+
+    frame = mask.groupBy(*keys).agg(F.first("height").alias("height"), F.first("width").alias("width"))
+    runs = salted_join(row_runs(mask, keys).drop("node"), frame, keys, spread=["row"])
+    rows = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(w).alias("w")) for i, w in widths.items()])
+    moved = runs.withColumn("_o", F.explode(rows)).withColumn("row", F.col("row") - F.col("_o.i")).filter((F.col("row") >= 0) & (F.col("row") < F.col("height")))
+    last = F.col("width") - 1
+    if grow:
+        a, b, need = F.greatest(F.lit(0), F.col("c0") - F.col("_o.w")), F.least(last, F.col("c1") + F.col("_o.w")), F.lit(1)
+    else:
+        # beyond the frame lies foreground if ``outside``: runs that reach it are not narrowed there, and rows beyond it need no run
+        a = F.when((F.col("c0") == 0) & F.lit(outside), 0).otherwise(F.col("c0") + F.col("_o.w"))
+        b = F.when((F.col("c1") == last) & F.lit(outside), last).otherwise(F.col("c1") - F.col("_o.w"))
+        beyond = [F.when((F.col("row") + i < 0) | (F.col("row") + i >= F.col("height")), 1).otherwise(0) for i in widths]
+        need = F.lit(len(widths)) - (sum(beyond[1:], beyond[0]) if outside else F.lit(0))
+    spans = moved.withColumns({"_a": a.cast("int"), "_b": b.cast("int")}).filter("_a <= _b")
+    ends = F.explode(F.array(F.struct(F.col("_a").alias("at"), F.lit(1).alias("d")), F.struct((F.col("_b") + 1).alias("at"), F.lit(-1).alias("d"))))
+    steps = spans.select(*keys, "row", "height", "width", ends.alias("_e")).groupBy(*keys, "row", "height", "width", F.col("_e.at").alias("_at")).agg(F.sum("_e.d").alias("_d"))
+    w = Window.partitionBy(*keys, "row", "height", "width").orderBy("_at")
+    over = steps.withColumns({"_n": F.sum("_d").over(w), "_to": F.lead("_at").over(w)}).filter(F.col("_to").isNotNull() & (F.col("_n") >= need))
+    return over.select(*keys, "row", F.explode(F.sequence(F.col("_at"), F.col("_to") - 1)).alias("col"), "height", "width")
 
 
 def dilate(mask: DataFrame, radius: int, keys: Sequence[str] = SCENE, offsets: Sequence[tuple[int, int]] | None = None) -> DataFrame:
     """Foreground grown by a disk and kept inside the scene (needs ``height``, ``width``)."""
-    moved = mask.select(*keys, "row", "col", "height", "width", F.explode(_offsets(offsets or disk(radius))).alias("_o")).select(
-        *keys, (F.col("row") + F.col("_o.i")).alias("row"), (F.col("col") + F.col("_o.j")).alias("col"), "height", "width"
-    )
-    inside = (F.col("row") >= 0) & (F.col("row") < F.col("height")) & (F.col("col") >= 0) & (F.col("col") < F.col("width"))
-    return moved.filter(inside).distinct()
+    return _swept(mask, list(keys), half_widths(offsets or disk(radius)), True, True)
 
 
 def erode(
     mask: DataFrame, radius: int, keys: Sequence[str] = SCENE, offsets: Sequence[tuple[int, int]] | None = None, outside: bool = True
 ) -> DataFrame:
     """Foreground whose whole disk is foreground; ``outside`` says what lies beyond the scene."""
-    offs = offsets or disk(radius)
-    moved = mask.select(*keys, "row", "col", "height", "width", F.explode(_offsets(offs)).alias("_o"))
-    r, c = F.col("row") + F.col("_o.i"), F.col("col") + F.col("_o.j")
-    votes = moved.select(*keys, r.alias("row"), c.alias("col"), "height", "width")
-    need = F.aggregate(
-        _offsets(offs),
-        F.lit(0),
-        lambda acc, o: acc
-        + F.when(
-            (F.col("row") + o["i"] >= 0) & (F.col("row") + o["i"] < F.col("height")) & (F.col("col") + o["j"] >= 0) & (F.col("col") + o["j"] < F.col("width")), 1
-        ).otherwise(0),
-    )
-    if not outside:
-        need = F.lit(len(offs))
-    inside = (F.col("row") >= 0) & (F.col("row") < F.col("height")) & (F.col("col") >= 0) & (F.col("col") < F.col("width"))
-    counted = votes.filter(inside).groupBy(*keys, "row", "col", "height", "width").agg(F.count("*").alias("_n"))
-    return counted.filter(F.col("_n") == need).drop("_n")
+    return _swept(mask, list(keys), half_widths(offsets or disk(radius)), False, outside)
 
 
 def near_mask_edge(mask: DataFrame, keys: Sequence[str] = SCENE, distance: float = 1.5) -> DataFrame:
