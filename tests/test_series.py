@@ -43,6 +43,39 @@ def test_learned_model_follows_the_line_and_falls_back_when_short(spark):
     assert m.first().model_type == "drift" and short.count() == 6
 
 
+def test_every_run_has_its_own_model(spark):
+    from tideline.operators import run_models
+
+    rng = np.random.default_rng(7)
+    start = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    walk = {(a, t): np.cumsum(rng.normal(size=(60, 2)), axis=0) + 10 * a for a in (1, 2) for t in (0, 1, 2)}
+    rows = [(a, t, f"s{d}", start + dt.timedelta(days=d), *map(float, w[d])) for (a, t), w in walk.items() for d in range(60)]
+    rows += [(3, 0, f"s{d}", start + dt.timedelta(days=d), 1.0 + d, 2.0) for d in range(2)]
+    rows += [(4, 0, f"s{d}", start + dt.timedelta(days=d), 7.0, 8.0) for d in range(9)]
+    out, metrics = run_models.forecast_runs(obs(spark, rows), 4, 5, "2024-02-10")
+    m = {r.aoi_id: r for r in metrics.collect()}
+    assert {a: r.model_type for a, r in m.items()} == {1: "linear_ar", 2: "linear_ar", 3: "drift", 4: "persistence"}
+    got = {(r.aoi_id, r.transect_index, r.step): (r.future_ve, r.future_wl) for r in out.collect()}
+    for a in (1, 2):
+        xs, ys, fit = [], [], []
+        for t in (0, 1, 2):
+            w = walk[a, t]
+            for d in range(5, 60):
+                xs.append(np.append(w[d - 5 : d].ravel(), 1.0))
+                ys.append(w[d])
+                fit.append(d <= 40)
+        xs, ys, fit = np.array(xs), np.array(ys), np.array(fit)
+        coef = np.linalg.lstsq(xs[fit], ys[fit], rcond=None)[0]
+        err = np.sqrt(np.mean((xs[~fit] @ coef - ys[~fit]) ** 2, axis=0))
+        assert np.allclose(err, (m[a].rmse_ve_m, m[a].rmse_wl_m), atol=1e-6) and (m[a].train_samples, m[a].val_samples) == (fit.sum(), (~fit).sum())
+        for t in (0, 1, 2):
+            w = list(walk[a, t])
+            for k in range(1, 5):
+                w.append(np.append(np.ravel(w[-5:]), 1.0) @ coef)
+                assert np.allclose(got[a, t, k], w[-1], atol=1e-5)
+    assert got[3, 0, 2] == (4.0, 2.0) and got[4, 0, 4] == (7.0, 8.0)
+
+
 def pchip(x, y, at):
     """Monotone cubic interpolation by its textbook formula, one point at a time."""
     h, m = np.diff(x), np.diff(y) / np.diff(x)

@@ -9,42 +9,13 @@ from pyspark.sql import functions as F
 
 from tideline.functions import geo
 from tideline.lineage import cut
-from tideline.operators import geometry, samples, selection, series
+from tideline.operators import geometry, run_models, samples, selection, series
 from tideline.operators.skew import salted_join
 
 
 def forecast_distances(obs: DataFrame, horizon: int, seq_len: int = 10, split_date: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Distance forecast of every transect with the best model the data allows.
-
-    Eligible transects get the learned model when enough samples exist, else persistence;
-    data without any window get drift. Transects too short to be modelled have no rows beside
-    modelled ones. Returns the forecast and one metrics row.
-    """
-    daily = cut(series.daily_series(obs))
-    ok = series.eligible(daily, seq_len).filter("modelled").select(*series.TRANSECT)
-    body = daily.join(ok, series.TRANSECT, "left_semi")
-    seqs = cut(series.split(series.sequences(body, seq_len), split_date))
-    n_train, n_val = seqs.agg(F.count_if(F.col("part") == "train"), F.count_if(F.col("part") == "val")).first()
-    counts = daily.sparkSession.createDataFrame([(int(n_train), int(n_val))], "train_samples bigint, val_samples bigint")
-    metrics = series.choose_model(counts)
-    pairs = {"rmse_ve_m": ("ve", "pred_ve"), "rmse_wl_m": ("wl", "pred_wl")}
-    if n_train + n_val == 0:
-        out = series.drift_forecast(daily, horizon)
-        return out, metrics.withColumns({n: F.lit(None).cast("double") for n in pairs})
-    if n_train < series.MIN_TRAIN or n_val < series.MIN_VAL:
-        scored = series.rmse(series.persistence_validation(seqs.filter("part = 'val'")), pairs)
-        rolled = series.persistence_forecast(body, horizon)
-    else:
-        scaler = series.fit_scaler(seqs).first().asDict()
-        scaled = series.scale_sequences(seqs, scaler)
-        model = series.fit_ar(cut(scaled.filter("part = 'train'")), seq_len)
-        pred = series.predict_ar(scaled.filter("part = 'val'"), model, seq_len)
-        for v in series.VALUES:
-            pred = pred.withColumn(v, series.unscale(v, scaler, v)).withColumn(f"pred_{v}", series.unscale(f"pred_{v}", scaler, v))
-        scored = series.rmse(pred, pairs)
-        rolled = series.rollout(body, model, scaler, seq_len, horizon)
-    row = scored.first()
-    return rolled, metrics.withColumns({n: F.lit(row[n]).cast("double") for n in pairs})
+    """Distance forecast of every transect with the best model its area allows, and one metrics row per area; see ``run_models.forecast_runs``."""
+    return run_models.forecast_runs(obs, horizon, seq_len, split_date)
 
 
 def forecast_shapes(

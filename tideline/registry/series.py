@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tideline.operators import selection, series
+from tideline.lineage import settle
+from tideline.operators import run_models, selection, series
 from tideline.registry import proxies as p
 from tideline.registry import query, r3, r6, s3, s6
 
@@ -100,6 +101,16 @@ def scaler_statistics(spark, sf):
     return s.select(*[r6(c).alias(c) for c in s.columns])
 
 
+@query("training_scalers", f"""WITH {DAILY}, {SEQ}, tr AS (SELECT * FROM seqs WHERE day <= 19742), flat AS (SELECT aoi_id, unnest(wve) AS a, unnest(wwl) AS b FROM tr),
+  x AS (SELECT aoi_id, avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM flat GROUP BY 1), y AS (SELECT aoi_id, avg(ve) AS ma, stddev_pop(ve) AS sa, avg(wl) AS mb, stddev_pop(wl) AS sb FROM tr GROUP BY 1)
+  SELECT aoi_id, {s6('x.ma')} AS mean_x_ve, {s6('x.sa')} AS std_x_ve, {s6('x.mb')} AS mean_x_wl, {s6('x.sb')} AS std_x_wl,
+  {s6('y.ma')} AS mean_y_ve, {s6('y.sa')} AS std_y_ve, {s6('y.mb')} AS mean_y_wl, {s6('y.sb')} AS std_y_wl FROM x JOIN y USING (aoi_id)""")
+def training_scalers(spark, sf):
+    """Per area, over the training part only."""
+    s = run_models.run_scaler(series.split(series.sequences(daily(spark, sf), 10), "2024-01-20"), scope="train")
+    return s.select("aoi_id", *[r6(c).alias(c) for c in s.columns if c != "aoi_id"])
+
+
 def _split_sql(part: str) -> str:
     return f"""WITH {DAILY}, {SEQ}, pos AS (SELECT *, row_number() OVER (PARTITION BY aoi_id ORDER BY transect_index, day) - 1 AS rn, count(*) OVER (PARTITION BY aoi_id) AS total,
   count(*) FILTER (day <= 19742) OVER (PARTITION BY aoi_id) AS l, count(*) FILTER (day > 19742) OVER (PARTITION BY aoi_id) AS r FROM seqs),
@@ -128,18 +139,53 @@ def persistence_rmse(spark, sf):
     return e.join(counts, "aoi_id").select("aoi_id", r6("rmse_ve_m").alias("rmse_ve_m"), r6("rmse_wl_m").alias("rmse_wl_m"), "train_samples", "val_samples")
 
 
-def _ar_parts(spark, sf, n):
-    d = daily(spark, sf).cache()
-    s = series.split(series.sequences(d, n), "2024-01-20")
-    scaler = series.fit_scaler(s).first().asDict()
-    scaled = series.scale_sequences(s, scaler)
-    return d, scaler, scaled, series.fit_ar(scaled.filter("part = 'train'"), n)
-
-
-@query("learned_forecast")
+# with a one-day window a run's model has two inputs, so its least-squares fit has a closed form. One area is too short for any window, one has few samples
+SHORT = "NOT (aoi_id = 3 AND datetime >= TIMESTAMP '2024-01-04') AND NOT (aoi_id = 7 AND (transect_index <> 7 OR datetime >= TIMESTAMP '2024-01-12'))"
+RUNS = f"""WITH RECURSIVE {DAILY.replace("FROM obs WHERE ve", f"FROM (SELECT * FROM obs WHERE {SHORT}) WHERE ve")},
+size AS (SELECT transect_index, aoi_id, count(*) AS n, max(day) AS last_day FROM daily GROUP BY ALL),
+lag1 AS (SELECT d.*, lag(ve) OVER w AS pve, lag(wl) OVER w AS pwl FROM daily d JOIN size USING (transect_index) WHERE n > 3 WINDOW w AS (PARTITION BY transect_index ORDER BY day)),
+pos AS (SELECT *, row_number() OVER (PARTITION BY aoi_id ORDER BY transect_index, day) - 1 AS rn, count(*) OVER (PARTITION BY aoi_id) AS total,
+  count(*) FILTER (day <= 19742) OVER (PARTITION BY aoi_id) AS l, count(*) FILTER (day > 19742) OVER (PARTITION BY aoi_id) AS r FROM lag1 WHERE pve IS NOT NULL),
+parts AS (SELECT *, CASE WHEN l > 0 AND r > 0 THEN day <= 19742 ELSE rn < floor(total * 0.8) END AS train FROM pos),
+cnt AS (SELECT aoi_id, count(*) FILTER (train) AS train_samples, count(*) FILTER (NOT train) AS val_samples FROM parts GROUP BY 1),
+kind AS (SELECT a.aoi_id, coalesce(train_samples, 0) AS train_samples, coalesce(val_samples, 0) AS val_samples,
+  CASE WHEN train_samples IS NULL THEN 'drift' WHEN train_samples < 8 OR val_samples < 2 THEN 'persistence' ELSE 'linear_ar' END AS model_type,
+  CASE WHEN train_samples IS NULL THEN 'no_sequences' WHEN train_samples < 8 OR val_samples < 2 THEN 'too_few_samples' END AS reason FROM (SELECT DISTINCT aoi_id FROM daily) a LEFT JOIN cnt USING (aoi_id)),
+cov AS (SELECT aoi_id, var_pop(pve) AS a, covar_pop(pve, pwl) AS b, var_pop(pwl) AS d, covar_pop(pve, ve) AS e1, covar_pop(pwl, ve) AS f1, covar_pop(pve, wl) AS e2, covar_pop(pwl, wl) AS f2,
+  avg(pve) AS mp, avg(pwl) AS mq, avg(ve) AS m1, avg(wl) AS m2 FROM parts WHERE train GROUP BY aoi_id),
+coef AS (SELECT *, (d * e1 - b * f1) / (a * d - b * b) AS p1, (a * f1 - b * e1) / (a * d - b * b) AS q1, (d * e2 - b * f2) / (a * d - b * b) AS p2, (a * f2 - b * e2) / (a * d - b * b) AS q2 FROM cov)"""
+
+
+def _runs(spark, sf):
+    o = p.obs(spark, sf)
+    at = lambda d: F.lit(f"{d} 00:00:00").cast("timestamp")
+    few = ((F.col("aoi_id") == 3) & (F.col("datetime") >= at("2024-01-04"))) | ((F.col("aoi_id") == 7) & ((F.col("transect_index") != 7) | (F.col("datetime") >= at("2024-01-12"))))
+    return run_models.forecast_runs(o.filter(~few), 7, 1, "2024-01-20")
+
+
+@query("area_models", RUNS + f""", err AS (SELECT aoi_id, CASE WHEN model_type = 'linear_ar' THEN ve - (m1 + p1 * (pve - mp) + q1 * (pwl - mq)) ELSE ve - pve END AS dv,
+  CASE WHEN model_type = 'linear_ar' THEN wl - (m2 + p2 * (pve - mp) + q2 * (pwl - mq)) ELSE wl - pwl END AS dw FROM parts JOIN kind USING (aoi_id) LEFT JOIN coef USING (aoi_id) WHERE NOT train),
+e AS (SELECT aoi_id, sqrt(avg(dv * dv)) AS rv, sqrt(avg(dw * dw)) AS rw FROM err GROUP BY 1)
+SELECT aoi_id, model_type, reason, train_samples, val_samples, {s3('rv')} AS rmse_ve_m, {s3('rw')} AS rmse_wl_m FROM kind LEFT JOIN e USING (aoi_id)""")
+def area_models(spark, sf):
+    """One model per area, one of them too short and one with few samples."""
+    m = _runs(spark, sf)[1]
+    return m.select("aoi_id", "model_type", "reason", "train_samples", "val_samples", r3("rmse_ve_m").alias("rmse_ve_m"), r3("rmse_wl_m").alias("rmse_wl_m"))
+
+
+@query("learned_forecast", RUNS + f""", ends AS (SELECT s.aoi_id, s.transect_index, s.last_day, s.n, d.ve, d.wl, coalesce(d.ve - k.ve, 0) AS sv, coalesce(d.wl - k.wl, 0) AS sw, model_type FROM size s JOIN kind USING (aoi_id)
+  JOIN daily d ON d.transect_index = s.transect_index AND d.day = s.last_day LEFT JOIN daily k ON k.transect_index = s.transect_index AND k.day = s.last_day - 1 WHERE model_type = 'drift' OR s.n > 3),
+roll AS (
+  SELECT aoi_id, transect_index, last_day, 0 AS step, ve, wl, sv, sw, model_type FROM ends
+  UNION ALL SELECT roll.aoi_id, transect_index, last_day, step + 1,
+    CASE model_type WHEN 'drift' THEN ve + sv WHEN 'persistence' THEN ve ELSE m1 + p1 * (ve - mp) + q1 * (wl - mq) END,
+    CASE model_type WHEN 'drift' THEN wl + sw WHEN 'persistence' THEN wl ELSE m2 + p2 * (ve - mp) + q2 * (wl - mq) END, sv, sw, model_type
+  FROM roll LEFT JOIN coef ON coef.aoi_id = roll.aoi_id WHERE step < 7)
+SELECT transect_index, step, strftime(DATE '1970-01-01' + CAST(last_day + step AS INTEGER), '%Y-%m-%d') AS date, {s3('ve')} AS future_ve, {s3('wl')} AS future_wl, model_type FROM roll WHERE step > 0""")
 def learned_forecast(spark, sf):
-    d, scaler, _, model = _ar_parts(spark, sf, 10)
-    return series.rollout(d, model, scaler, 10, 7).select("transect_index", "step", F.col("date").cast("string").alias("date"), r3("future_ve").alias("future_ve"), r3("future_wl").alias("future_wl"))
+    """Seven days ahead with every area's own model."""
+    f = _runs(spark, sf)[0]
+    return f.select("transect_index", "step", F.col("date").cast("string").alias("date"), r3("future_ve").alias("future_ve"), r3("future_wl").alias("future_wl"), "model_type")
 
 
 # with a one-day window the model has two inputs, so its least-squares fit has a closed form
@@ -154,7 +200,10 @@ SELECT {s3('sqrt(avg(pow(ve - (m1 + p1 * (pve - mp) + q1 * (pwl - mq)), 2)))')}
 
 @query("learned_rmse", AR1)
 def learned_rmse(spark, sf):
-    _, scaler, scaled, model = _ar_parts(spark, sf, 1)
+    s = settle(series.split(series.sequences(daily(spark, sf), 1), "2024-01-20"))
+    scaler = series.fit_scaler(s).first().asDict()
+    scaled = series.scale_sequences(s, scaler)
+    model = series.fit_ar(scaled.filter("part = 'train'"), 1)
     pred = series.predict_ar(scaled.filter("part = 'val'"), model, 1)
     for v in ("ve", "wl"):
         pred = pred.withColumn(v, series.unscale(v, scaler, v)).withColumn(f"pred_{v}", series.unscale(f"pred_{v}", scaler, v))
