@@ -75,7 +75,7 @@ def signatures(df: DataFrame, id_col: str = "doc_id", text: str = "text", words:
 
     picked = df.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("t"))
     kind = picked.schema["id"].dataType.simpleString()
-    return picked.mapInArrow(run, f"id {kind}, key binary, sig binary, t string")
+    return picked.mapInArrow(K.returned(run), f"id {kind}, key binary, sig binary, t string")
 
 
 def distinct(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -9,17 +9,21 @@ path is the library's own segmentation. Blanks start pieces only, so the path fa
 
 from __future__ import annotations
 
+import copy
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm import kernels as K
+
 BLANK = "▁"
-#: Words that a worker remembers in each of two generations; the older one is dropped when the younger is full, which changes cost only.
-MEMORY = 200_000
+#: Words that a task remembers in each of two generations, and pairs of pieces that a worker does; what does not fit is solved again, which changes cost only.
+MEMORY, PAIRS = 150_000, 400_000
 _WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
@@ -86,7 +90,10 @@ def _flags(path: str) -> tuple[str, bool, bool]:
 
 
 class Transducer:
-    """Arcs by text, and for BPE the bigram acceptor, filled as pairs are met."""
+    """Arcs by text in an automaton that finds all pieces ending at each sign, and for BPE the bigram acceptor, filled as pairs are met.
+
+    A worker compiles it once; the words that a task meets belong to the task (``fresh``, ``forget``).
+    """
 
     def __init__(self, model: Model):
         special = set(model.special) | set(model.byte.values())
@@ -94,30 +101,32 @@ class Transducer:
         self.arcs = {p: i for i, p in enumerate(model.pieces) if i not in special}
         if any(c not in self.arcs for p in self.arcs for c in p):
             raise ValueError("a character of a piece has no piece of its own")
-        self.lengths = self._lengths()
+        self.found = ahocorasick.Automaton()
+        for p, i in self.arcs.items():
+            self.found.add_word(p, (i, len(p)))
+        self.found.make_automaton()
         self.inner = {p[i : i + 2] for p in self.arcs for i in range(len(p) - 1)}
-        self.reached: dict[str, int] = {}
+        self.size = len(model.pieces)
         self.weight = [-s for s in model.scores]
         self.size_of = [len(p) for p in model.pieces]
-        self.follows: dict[tuple[int, int], bool] = {}
-        self.memory: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.code = [i.to_bytes(4, "little") for i in range(len(model.pieces))]
+        self.code = [i.to_bytes(4, "little") for i in range(self.size)]
         special = set(model.special)
         self.surface = ["" if i in special else p.replace(BLANK, " ") for i, p in enumerate(model.pieces)]
         self.value = {i: b for b, i in model.byte.items()}
-
-    def _lengths(self) -> dict[str, tuple[int, ...]]:
-        """Lengths, longest first, of the pieces that end in up to three given characters."""
-        found: dict[str, set[int]] = {}
-        for p in self.arcs:
-            found.setdefault(p[-3:], set()).add(len(p))
-        # a longer suffix also takes the pieces that are shorter than itself
-        out = {}
-        for key, lengths in found.items():
-            out[key] = tuple(sorted(lengths | {k for k in (1, 2) if key[-k:] in self.arcs}, reverse=True))
+        #: whether piece b may follow a, by a * size + b; a piece that starts has a = size
+        self.follows: dict[int, bool] = {}
+        self.forget()
+
+    def fresh(self) -> Transducer:
+        """The same arcs and acceptor without remembered words."""
+        out = copy.copy(self)
+        out.forget()
         return out
 
+    def forget(self) -> None:
+        self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
     def normalise(self, text: str) -> str:
         """The input side: blanks, and a leading one for a text that is not empty."""
         if self.model.squeeze:
@@ -140,18 +149,13 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def allows(self, a: int, b: int) -> bool:
-        known = self.follows.get((a, b))
-        if known is None:
-            pieces = self.model.pieces
-            known = self.follows[a, b] = self.merged(pieces[a] + pieces[b]) == [a, b]
-        return known
-
-    def alone(self, a: int) -> bool:
-        """A piece may start a path only if merging its own text gives it back."""
-        known = self.follows.get((-1, a))
-        if known is None:
-            known = self.follows[-1, a] = self.merged(self.model.pieces[a]) == [a]
-        return known
+        """Whether merging the two pieces' text gives the two back; a first piece (a = size) must give itself."""
+        if len(self.follows) >= PAIRS:
+            self.follows.clear()
+        pieces = self.model.pieces
+        good = self.merged(pieces[b]) == [b] if a == self.size else self.merged(pieces[a] + pieces[b]) == [a, b]
+        self.follows[a * self.size + b] = good
+        return good
 
     def fallback(self, ch: str) -> bytes:
         if self.model.byte:
@@ -159,78 +163,64 @@ class Transducer:
         return self.code[self.model.unknown]
 
     def path(self, word: str) -> bytes:
-        """Shortest path of one word, as 32-bit little-endian ids; characters without an arc stand alone and cut the word."""
+        """Shortest path of one word, as 32-bit little-endian ids."""
         out = self.older.get(word)
-        whole = self.arcs.get(word)
-        if out is not None:
-            pass
-        elif whole is not None and (self.model.kind == "bpe") and self.alone(whole):
-            out = self.code[whole]
-        else:
-            # no piece holds the two characters at a cut, so the parts have paths of their own
-            inner, arcs, out, at = self.inner, self.arcs, b"", 0
-            for i in range(1, len(word) + 1):
-                if word[i - 1 : i + 1] in inner and i < len(word):
-                    continue
-                part = word[at:i]
-                at = i
-                out += (self.memory.get(part) or self.older.get(part) or self.best(part)) if len(part) > 1 or part in arcs else self.fallback(part)
+        if out is None:
+            out = self.best(word)
+        if out is None:
+            out = self.parted(word)
         if len(self.memory) >= MEMORY:
             self.older, self.memory = self.memory, {}
         self.memory[word] = out
         return out
 
-    def best(self, text: str) -> bytes:
-        """Viterbi over (position, last piece): for BPE the acceptor leaves one live piece a position, for unigram the weights choose."""
+    def parted(self, word: str) -> bytes:
+        """A word with characters that no arc takes: they stand alone. No piece holds the two characters at a cut, so the parts have paths of their own."""
+        out, at = b"", 0
+        for i in range(1, len(word) + 1):
+            if i < len(word) and word[i - 1 : i + 1] in self.inner:
+                continue
+            part, at = word[at:i], i
+            out += self.fallback(part) if len(part) == 1 and part not in self.arcs else self.best(part)
+        return out
+
+    def best(self, text: str) -> bytes | None:
+        """Viterbi over (position, last piece): for BPE the acceptor leaves one live piece a position, for unigram the weights choose. None if no path takes all signs."""
+        last = self._live(text) if self.model.kind == "bpe" else self._lightest(text)
+        out, n = [], len(text)
+        while n:
+            piece = last[n]
+            if piece < 0:
+                return None
+            out.append(self.code[piece])
+            n -= self.size_of[piece]
+        return b"".join(out[::-1])
+
+    def _lightest(self, text: str) -> list[int]:
+        """The last piece of the lightest path to each position: weights add along a path, the minimum is kept."""
         n = len(text)
-        if self.model.kind == "bpe":
-            return self._single(text)
         cost: list[float | None] = [0.0] + [None] * n
         last = [-1] * (n + 1)
-        for end in range(1, n + 1):
-            tail = text[max(0, end - 3) : end]
-            for size in self.lengths.get(tail) or self.lengths.get(tail[-2:]) or (1,):
-                start, piece = end - size, self.arcs.get(text[max(0, end - size) : end])
-                if start < 0 or piece is None or cost[start] is None:
-                    continue
-                if cost[end] is None or cost[start] + self.weight[piece] < cost[end]:
-                    cost[end], last[end] = cost[start] + self.weight[piece], piece
-        out, at = [], n
-        while at:
-            out.append(self.code[last[at]])
-            at -= len(self.model.pieces[last[at]])
-        return b"".join(reversed(out))
-
-    def _single(self, text: str) -> bytes:
-        """A BPE path. What a prefix reaches depends on the prefix alone, so words share the work on common beginnings."""
-        arcs, lengths, follows, reached, code, size_of = self.arcs, self.lengths, self.follows, self.reached, self.code, self.size_of
-        if len(reached) > 2 * MEMORY:
-            reached.clear()
-        end = n = len(text)
-        while end and text[:end] not in reached:
-            end -= 1
-        for end in range(end + 1, n + 1):
-            tail = text[end - 3 : end] if end > 3 else text[:end]
-            for size in lengths.get(tail) or lengths.get(tail[-2:]) or (1,):
-                start = end - size
-                if start < 0:
-                    continue
-                piece = arcs.get(text[start:end])
-                if piece is None:
-                    continue
-                before = reached[text[:start]] if start else -1
-                good = follows.get((before, piece))
-                if good is None:
-                    good = self.allows(before, piece) if start else self.alone(piece)
-                if good:
-                    reached[text[:end]] = piece
-                    break
-        out = []
-        while n:
-            piece = reached[text[:n]]
-            out.append(code[piece])
-            n -= size_of[piece]
-        return b"".join(out[::-1])
+        for at, (piece, size) in self.found.iter(text):
+            before, end = cost[at + 1 - size], at + 1
+            if before is not None and (cost[end] is None or before + self.weight[piece] < cost[end]):
+                cost[end], last[end] = before + self.weight[piece], piece
+        return last
+
+    def _live(self, text: str) -> list[int]:
+        """The last piece of the one path that the acceptor leaves to each position."""
+        last = [-1] * (len(text) + 1)
+        last[0] = start = self.size
+        known = self.follows.get
+        for at, (piece, size) in self.found.iter(text):
+            at += 1
+            if last[at] < 0:
+                before = last[at - size]
+                if before >= 0:
+                    good = known(before * start + piece)
+                    if good or (good is None and self.allows(before, piece)):
+                        last[at] = piece
+        return last
 
     def encode(self, text: str) -> bytes:
         """Ids as 32-bit little-endian numbers."""
@@ -306,7 +296,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
     packed = df.select(F.col(text).cast("string").alias("t"), *(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fst = _transducer(path, model.value)
+        fst = _transducer(path, model.value).fresh()
         for batch in batches:
             texts = batch.column(0)
             for at in range(0, batch.num_rows, 256):
@@ -318,7 +308,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], made], names=[*part.schema.names[1:], "ids"])
 
     schema = ", ".join([*(f"k{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(kept)), "ids array<int>"])
-    return packed.mapInArrow(run, schema).toDF(*kept, ids)
+    return packed.mapInArrow(K.returned(run), schema).toDF(*kept, ids)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -336,7 +326,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "text") -> Da
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], made], names=[*part.schema.names[1:], "t"])
 
     schema = ", ".join([*(f"k{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(kept)), "t string"])
-    return packed.mapInArrow(run, schema).toDF(*kept, text)
+    return packed.mapInArrow(K.returned(run), schema).toDF(*kept, text)
 
 
 def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -350,7 +340,7 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "te
     picked = df.select(F.col(id_col).alias("c0"), F.col(text).cast("string").alias("c1"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fst = _transducer(path, model.value)
+        fst = _transducer(path, model.value).fresh()
         is_byte = np.zeros(len(model.value.pieces), bool)
         is_byte[list(model.value.byte.values())] = True
         for batch in batches:
@@ -366,4 +356,4 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nb, pa.int64()), pa.array(sha, pa.string()), pa.array(exact, pa.bool_())], names=["c0", "n_ids", "n_bytes", "ids_sha256", "exact"])
 
     kind = picked.schema["c0"].dataType.simpleString()
-    return picked.mapInArrow(run, f"c0 {kind}, n_ids bigint, n_bytes bigint, ids_sha256 string, exact boolean").withColumnRenamed("c0", id_col)
+    return picked.mapInArrow(K.returned(run), f"c0 {kind}, n_ids bigint, n_bytes bigint, ids_sha256 string, exact boolean").withColumnRenamed("c0", id_col)

@@ -215,7 +215,7 @@ def apply_rules(df: DataFrame, id_col: str = "doc_id", text: str = "text", rules
     picked = df.select(F.col(id_col).alias("c0"), F.col(text).cast("string").alias("c1"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)))
     out = [id_col, *measures, "rejected_by", "passed", *keep]
     types = [picked.schema["c0"].dataType.simpleString(), *["bigint"] * len(measures), "string", "boolean", *(picked.schema[f"k{i}"].dataType.simpleString() for i in range(len(keep)))]
-    return picked.mapInArrow(run, ", ".join(f"c{i} {t}" for i, t in enumerate(types))).toDF(*out)
+    return picked.mapInArrow(K.returned(run), ", ".join(f"c{i} {t}" for i, t in enumerate(types))).toDF(*out)
 
 
 def passing(df: DataFrame, id_col: str = "doc_id", text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -232,4 +232,4 @@ def passing(df: DataFrame, id_col: str = "doc_id", text: str = "text", rules: Se
             yield pa.RecordBatch.from_arrays(kept.columns[2:], names=kept.schema.names[2:])
 
     schema = ", ".join(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(df.schema.fields))
-    return packed.mapInArrow(run, schema).toDF(*df.columns)
+    return packed.mapInArrow(K.returned(run), schema).toDF(*df.columns)
