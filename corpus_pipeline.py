@@ -15,8 +15,20 @@ from tideline.llm import chosen_path, line_chunks, mixing, pieces, queries, rule
 from tideline.llm.tables import near, stored
 
 
+#: Rows of an Arrow batch. A Python worker and its executor hold a few batches each, and texts of one batch may be long.
+BATCH_ROWS = "1000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """The session's Arrow batches, for stages with Python workers, hold at most ``BATCH_ROWS`` rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= int(BATCH_ROWS):
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a quality rule rejects go."""
+    """Documents that a quality rule rejects go; null and empty texts are judged as texts without words, repeated rows alike."""
+    small_batches(spark)
     return rule_cascade.passing(docs)
 
 
@@ -33,6 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows are told apart by (id, text), so rows that share an id are judged by their own texts. Texts without a word are no copies; of repeated ones one row
     of each id stays, and all without an id.
     """
+    small_batches(spark)
     t = F.col("text").cast("string")
     key = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.xxhash64(t).alias("h"))
     found = chosen_path.similar(docs.select(key.alias("_id"), t.alias("text")), id_col="_id")
@@ -57,6 +70,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text, in place of the text."""
+    small_batches(spark)
     out = pieces.encode(docs.select("doc_id", "lang", "source", "text"), queries.TOKENIZER)
     return out.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_ids"), "ids")
 
