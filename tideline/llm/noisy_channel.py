@@ -32,17 +32,14 @@ LOOKALIKES = {
 SIGN_COST, DROP_COST, WASTE_COST = 0.7, 0.3, 8.0
 #: A pair of letters is mostly meant, a longer run mostly is not.
 PAIR_COST, RUN_COST = 1.0, 0.2
-#: Letters that the character model tells apart; its table has at most (LETTERS + 2) ** 3 counts.
-LETTERS = 64
 #: Labelled rows of a class the scorer is fitted on, about; more are thinned by a hash of the text.
 LABELLED_ROWS = 20_000
-#: Evidence that the scorer may hold, the most frequent in toxic texts first.
-EVIDENCE = 50_000
 #: The least P(toxic | text has it) that counts, of a word and of a beginning, which clean words may share; weaker evidence would add up over long texts.
 STRONG, STRONG_PREFIX = 0.85, 0.93
 PREFIXES = (4, 5, 6, 7)
-#: Toxic texts that must have a word or beginning before it is evidence.
-SUPPORT = 5
+#: Toxic texts that must have a word or beginning before it is evidence, and the pseudo count (Jeffreys' prior) of clean texts that have it: a word of no clean
+#: text that five toxic ones hold passes, also where a language has few of them.
+SUPPORT, PSEUDO = 5, 0.5
 MEMORY = 600_000
 _SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
 _EDGE = re.compile(r"^[\W_]*[\"'«»().,;:?\[\]{}*%&#]+(?=\w)|(?:[.,;:?!\"'*%&#)\]}»]+|\$\$\$+)+$")
@@ -152,8 +149,8 @@ def features(word: str) -> list[str]:
     return [word, *(word[:k] + "-" for k in PREFIXES if len(word) > k)]
 
 
-def learn_chars(df: DataFrame, text: str = "text", letters: int = LETTERS) -> CharModel:
-    """Character trigrams of all alphabetic words of ``df``; letters outside the ``letters`` most frequent end up unseen."""
+def learn_chars(df: DataFrame, text: str = "text") -> CharModel:
+    """Character trigrams of all alphabetic words of ``df``, of every script; their number follows the alphabets in use, not the rows."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words: Counter[str] = Counter()
@@ -174,10 +171,7 @@ def learn_chars(df: DataFrame, text: str = "text", letters: int = LETTERS) -> Ch
             yield pa.RecordBatch.from_pydict({"gram": pa.array(grams, pa.string()), "n": pa.array(total)})
 
     grams = df.select(F.col(text).cast("string").alias("t")).mapInArrow(count, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    single = grams.groupBy(F.substring("gram", 3, 1).alias("c")).agg(F.sum("n").alias("n")).where("c <> '$'").orderBy(F.desc("n"), "c").limit(letters)
-    known = [r.c for r in single.collect()]
-    inside = F.translate("gram", "^$" + "".join(known), "") == ""
-    return CharModel.of({r.gram: r.n for r in grams.where(inside).collect()})
+    return CharModel.of({r.gram: r.n for r in grams.collect()})
 
 
 def labelled(labels: DataFrame, id_col: str = "doc_id", label: str = "toxic", rows: int = LABELLED_ROWS) -> tuple[DataFrame, dict[int, int]]:
@@ -188,8 +182,11 @@ def labelled(labels: DataFrame, id_col: str = "doc_id", label: str = "toxic", ro
     return base.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < part * (1 << 30)), sizes
 
 
-def learn_evidence(df: DataFrame, labels: DataFrame, chars: CharModel, id_col: str = "doc_id", label: str = "toxic", text: str = "text", rows: int = LABELLED_ROWS, limit: int = EVIDENCE) -> dict[str, float]:
-    """Feature -> P(toxic | a text has it), for features that point to toxic texts; from about ``rows`` labelled rows of a class, near copies mostly counted once."""
+def learn_evidence(df: DataFrame, labels: DataFrame, chars: CharModel, id_col: str = "doc_id", label: str = "toxic", text: str = "text", rows: int = LABELLED_ROWS) -> dict[str, float]:
+    """Feature -> P(toxic | a text has it), for features that point to toxic texts; from about ``rows`` labelled rows of a class, near copies mostly counted once.
+
+    There is at most one feature for ``SUPPORT`` words of those rows, so ``rows`` bounds the result.
+    """
     some, sizes = labelled(labels, id_col, label, rows)
     if not sizes.get(1) or not sizes.get(0):
         return {}
@@ -234,11 +231,10 @@ def learn_evidence(df: DataFrame, labels: DataFrame, chars: CharModel, id_col: s
         return {}
     prior = sizes[1] / (sizes[0] + sizes[1])
     for_it = F.lit(prior) * F.col("bad") / n.bad
-    against = F.lit(1 - prior) * (F.col("good") + 1.5) / (n.good + 3)
-    # the bounds are met before the limit, or frequent clean words would take the places of rare toxic ones
+    against = F.lit(1 - prior) * (F.col("good") + PSEUDO) / (n.good + 2 * PSEUDO)
     strong = totals.where((F.col("f") != "") & (F.col("bad") >= SUPPORT)).withColumn("p", for_it / (for_it + against))
     strong = strong.where(F.col("p") >= F.when(F.col("f").endswith("-"), STRONG_PREFIX).otherwise(STRONG))
-    return {r.f: r.p for r in strong.orderBy(F.desc("bad"), "f").limit(limit).collect()}
+    return {r.f: r.p for r in strong.select("f", "p").collect()}
 
 
 def score(df: DataFrame, chars: CharModel, evidence: dict[str, float], id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -247,7 +243,7 @@ def score(df: DataFrame, chars: CharModel, evidence: dict[str, float], id_col: s
     Scores combine the distinct words' probabilities as independent causes. Null and empty texts score 0. Repeated rows and null
     ids are scored like any other; other columns are ignored.
     """
-    sent = df.sparkSession.sparkContext.broadcast((chars, evidence))  # bounded: LETTERS and EVIDENCE
+    sent = df.sparkSession.sparkContext.broadcast((chars, evidence))  # bounded by the alphabets in use and the labelled rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, weights = sent.value
