@@ -11,7 +11,7 @@ WITH p AS (
     regexp_replace(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', '') AS host,
     regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS path
   FROM pages
-), h AS (SELECT host, min(page_id) AS m, 'd:' || regexp_replace(host, '^[^.]*[.]', '') AS parent FROM p WHERE host <> '' GROUP BY host),
+), h AS (SELECT host, min(page_id) AS m, arg_min(host || path, (page_id, host || path)) AS first, 'd:' || regexp_replace(host, '^[^.]*[.]', '') AS parent FROM p WHERE host <> '' GROUP BY host),
 e AS (
   SELECT 'abuse' AS list, 'block' AS verdict, 'd:' || host AS pattern, m % 200 AS d, 'add' AS action FROM h WHERE m % 7 < 3
   UNION ALL SELECT 'abuse', 'block', 'd:' || host, m % 200 + 60, 'remove' FROM h WHERE m % 7 < 3 AND m % 3 = 0
@@ -19,6 +19,7 @@ e AS (
   UNION ALL SELECT 'regional', 'block', parent, m % 50 + 20, 'add' FROM h WHERE host LIKE '%.%.%.%' AND m % 5 = 1
   UNION ALL SELECT 'regional', 'block', parent, m % 50 + 90, 'remove' FROM h WHERE host LIKE '%.%.%.%' AND m % 5 = 1
   UNION ALL SELECT 'paths', 'block', 'p:' || host || '/de', m % 100, 'add' FROM h WHERE m % 4 = 0
+  UNION ALL SELECT 'deep', 'block', 'p:' || array_to_string(string_split(first, '/')[1:4], '/'), m % 120, 'add' FROM h WHERE m % 3 = 1 AND first LIKE '%/%'
   UNION ALL SELECT 'trusted', 'allow', 'd:' || host, m % 100 + 30, 'add' FROM h WHERE m % 7 = 1
   UNION ALL SELECT 'trusted', 'allow', 'd:' || host, m % 100 + 150, 'remove' FROM h WHERE m % 14 = 1
 ), a AS (
@@ -29,7 +30,7 @@ e AS (
 k AS (
   SELECT DISTINCT page_id, fetched_at, unnest(list_concat(list_concat(
     list_transform(range(1, greatest(len(labels) - 1, 1) + 1), lambda i: 'd:' || array_to_string(labels[i:], '.')),
-    list_transform(range(1, least(len(parts) - 1, 2) + 1), lambda i: 'p:' || array_to_string(parts[1:i + 1], '/'))), ['u:' || address])) AS pattern
+    list_transform(range(1, len(parts)), lambda i: 'p:' || array_to_string(parts[1:i + 1], '/'))), ['u:' || address])) AS pattern
   FROM s
 ), m AS (
   SELECT page_id, verdict, list, pattern, v.since AS valid_from, count(*) OVER (PARTITION BY page_id) AS n_active,

@@ -32,8 +32,8 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def list_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dated list entries derived from the hosts of the pages; which hosts are listed, and when, follows from a host's first page."""
-    pages = table(spark, sf_dir, "pages").select("page_id", url_filters.host(F.col("url")).alias("host"))
-    hosts = pages.where("host <> ''").groupBy("host").agg(F.min("page_id").alias("m"))
+    pages = table(spark, sf_dir, "pages").select("page_id", url_filters.host(F.col("url")).alias("host"), url_filters.address(F.col("url")).alias("address"))
+    hosts = pages.where("host <> ''").groupBy("host").agg(F.min("page_id").alias("m"), F.min_by("address", F.struct("page_id", "address")).alias("first"))
     day = lambda d: F.expr("timestamp_ntz'2024-01-01 00:00:00'") + F.make_dt_interval(d.cast("int"))
 
     def entry(name: str, verdict: str, pattern: Column, when: Column, action: str, where: str) -> DataFrame:
@@ -48,6 +48,8 @@ def list_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         entry("regional", "block", parent, m % 50 + 20, "add", "host like '%.%.%.%' and m % 5 = 1"),
         entry("regional", "block", parent, m % 50 + 90, "remove", "host like '%.%.%.%' and m % 5 = 1"),
         entry("paths", "block", F.concat(F.lit("p:"), host, F.lit("/de")), m % 100, "add", "m % 4 = 0"),
+        # up to three folders of the host's first page
+        entry("deep", "block", F.concat(F.lit("p:"), F.array_join(F.slice(F.split("first", "/"), 1, 4), "/")), m % 120, "add", "m % 3 = 1 and first like '%/%'"),
         entry("trusted", "allow", F.concat(F.lit("d:"), host), m % 100 + 30, "add", "m % 7 = 1"),
         entry("trusted", "allow", F.concat(F.lit("d:"), host), m % 100 + 150, "remove", "m % 14 = 1"),
     ]
@@ -58,7 +60,7 @@ def list_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filters.judge(captures(spark, sf_dir), list_entries(spark, sf_dir), folders=None)
+    return url_filters.judge(captures(spark, sf_dir), list_entries(spark, sf_dir))
 
 
 def op2_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from tideline.llm.tables import spread_join, stored
 
 PERIOD_DAYS = 32
-#: Path folders of a capture that are looked up unless the caller asks for as many as the entries have (``folders=None``).
-PATH_FOLDERS = 2
 _FAR = "timestamp_ntz'9999-12-31 00:00:00'"
 _FIRST = "timestamp_ntz'0001-01-01 00:00:00'"
 
@@ -66,13 +64,13 @@ def period(at: Column, days: int) -> Column:
     return F.floor(F.datediff(at.cast("date"), F.lit("1970-01-01").cast("date")) / days).cast("int")
 
 
-def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url: str = "url", at: str = "fetched_at", period_days: int = PERIOD_DAYS, folders: int | None = PATH_FOLDERS) -> DataFrame:
+def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url: str = "url", at: str = "fetched_at", period_days: int = PERIOD_DAYS, folders: int | None = None) -> DataFrame:
     """One row per capture: id, ``fetched_at``, ``allowed``, ``verdict``, ``list``, ``pattern``, ``valid_from``, ``n_active``.
 
     Of the entries active at the fetch (from inclusive, to exclusive) the longest pattern decides, then ``allow`` before ``block``, then the list's
     name; ``n_active`` counts them. Captures with a null or host-less URL, or without a fetch time, match nothing and are allowed. Rows are told apart by (id, url, fetch time): repeated
-    rows give repeated rows. Null ids are judged too. Empty tables are fine; other columns are ignored. Path entries match up to ``folders`` folders deep;
-    with None all of them do.
+    rows give repeated rows. Null ids are judged too. Empty tables are fine; other columns are ignored. Path entries match
+    however many folders they have, up to ``folders`` if given. Long URLs are compared whole.
     """
     rows = captures.select(F.col(id_col).alias("id"), F.col(url).cast("string").alias("url"), F.col(at).cast("timestamp_ntz").alias("at"))
     # a capture is looked up once, however often it is repeated
