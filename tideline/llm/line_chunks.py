@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm.personal_data import let
 from tideline.llm.tables import near, spread_join, stored
 
 MIN_LINES = 2
@@ -91,7 +92,9 @@ def deduplicate_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     met = touched.alias("d").join(lines.alias("l"), (F.col("d.k") == F.col("l.k")) & F.col(f"d.r.{id_col}").eqNullSafe(F.col("l.id")), "left").select("d.r", "l.gone")
     out = met.unionByName(rest.select("r", F.lit(None).cast("array<int>").alias("gone")))
     split = F.split(F.col(f"r.{text}"), "\n", -1)
-    left = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("gone", i)), "\n")
+    # the kept numbers come from one hash set, and the lines are split once: a long document takes time in proportion to its lines
+    kept = lambda xs: F.array_except(F.sequence(F.lit(0), F.size(xs) - 1), F.col("gone"))
+    left = let(split, lambda xs: F.array_join(F.transform(kept(xs), lambda i: F.get(xs, i)), "\n"))
     new = F.when(F.col("gone").isNull(), F.col(f"r.{text}")).otherwise(left)
     cols = []
     for c in df.columns:
