@@ -324,9 +324,38 @@ def test_toxic_words_of_the_tail_are_learned_from_copied_rows(spark):
     marks = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id bigint, toxic int")
     evidence = noisy_channel.learn_evidence(docs, marks, noisy_channel.learn_chars(docs))
     assert set(tail) <= set(evidence) and "fine" not in evidence
-    # places are for evidence: many frequent clean words do not fill them
-    few = noisy_channel.learn_evidence(docs, marks, noisy_channel.learn_chars(docs), limit=40)
-    assert set(tail) <= set(few)
+
+
+def test_vocabularies_of_falling_size_and_two_scripts_are_found_on_held_out_rows(spark):
+    rng = random.Random(11)
+    bad = {"abcdefgh": (["idiot", "moron"], 60), "klmnopqr": (["trottel", "depp"], 25), "stuvwxyz": (["tonto", "bobo"], 11), "абвгдежз": (["дурак", "болван"], 5)}
+    rows = []
+    for letters, (words, n) in bad.items():
+        say = lambda letters=letters: "".join(rng.choice(letters) for _ in range(6))
+        text = lambda extra, say=say: " ".join([*(say() for _ in range(25)), *extra, say()])
+        rows += [(text(words), 1, True) for _ in range(n)] + [(text([]), 0, True) for _ in range(600)]
+        # held out: plain words, and hidden ones of either script
+        hidden = [w[0] + " " + " ".join(w[1:]) for w in words]
+        rows += [(text(words), 1, False) for _ in range(6)] + [(text([hidden[0], say(), hidden[1]]), 1, False), (text([w.replace("o", "0").replace("а", "@") for w in words]), 1, False)] + [(text([]), 0, False) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t, known) for i, (t, _, known) in enumerate(rows)], "doc_id bigint, text string, known boolean")
+    marks = spark.createDataFrame([(i, y) for i, (_, y, known) in enumerate(rows) if known], "doc_id bigint, toxic int")
+    chars = noisy_channel.learn_chars(docs.where("known"))
+    assert any(g > "а" for g in chars.counts)
+    evidence = noisy_channel.learn_evidence(docs.where("known"), marks, chars)
+    scores = {r.doc_id: r.score for r in noisy_channel.score(docs.where("not known"), chars, evidence).collect()}
+    missed = [rows[i][0][-40:] for i, p in scores.items() if rows[i][1] and p < 0.7 and "@" not in rows[i][0]]
+    assert missed == [] and all(p < 0.7 for i, p in scores.items() if not rows[i][1])
+
+
+def test_long_documents_lose_lines_in_time_in_proportion(spark):
+    import time
+
+    line = [f"shared {i}" for i in range(200_000)]
+    df = frame(spark, [(1, "\n".join(line), "s"), (2, "own first\n" + "\n".join(line) + "\nown last", "s")])
+    start = time.time()
+    got = {r.doc_id: r.text for r in line_chunks.deduplicate_lines(df).select("doc_id", "text").collect()}
+    assert got[2] == "own first\nown last" and got[1].count("\n") == 199_999
+    assert time.time() - start < 60
 
 
 def test_doubled_letters_are_restored():

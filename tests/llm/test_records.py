@@ -80,7 +80,7 @@ def test_url_lists_match_brute_force(spark):
             host = netloc.lower().rpartition("@")[2].split(":")[0]
             full = (host + "/" + path if path else host).rstrip("/")
             labels, parts = host.split("."), full.split("/")
-            keys = {"d:" + ".".join(labels[k:]) for k in range(max(len(labels) - 1, 1))} | {"p:" + "/".join(parts[: k + 1]) for k in range(1, min(len(parts) - 1, 2) + 1)} | {"u:" + full}
+            keys = {"d:" + ".".join(labels[k:]) for k in range(max(len(labels) - 1, 1))} | {"p:" + "/".join(parts[: k + 1]) for k in range(1, len(parts))} | {"u:" + full}
         for (name, pattern), log in history.items():
             if pattern in keys and at is not None and (past := [x for x in log if x[0] <= at]) and past[-1][1] == "add":
                 found.append((-len(pattern), past[-1][2], name, pattern, past[-1][0]))
@@ -230,3 +230,45 @@ def test_derived_arguments_hold_whole_words(spark, tmp_path):
     spark.createDataFrame([(1, 0, "assistant", word), (1, 1, "user", "x y")], "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     out = queries.messages(spark, str(tmp_path)).where("role = 'assistant'").first()
     assert json.loads(out.arguments)["query"] == word
+
+
+def test_arguments_without_a_text_form_and_json_types():
+    s = queries.SCHEMAS
+    for bad in ('{"query":"\\ud83d","limit":3}', '{"\\ud800":1}', "[" * 100_000):
+        assert tool_calls.check_arguments("search", bad, s) == (None, "arguments are not JSON")
+    assert tool_calls.check_arguments("search", '{"query":"\\ud83d\\ude00","limit":3.0}', s)[1] == "ok"
+    either = {"t": {"type": ["integer", "null"], "enum": [1, None]}}
+    assert [tool_calls.check_arguments("t", x, either)[1] for x in ("1", "1.0", "null", "true", '"a"')] == ["ok", "ok", "ok", "$: not integer or null", "$: not integer or null"]
+    deep = {"t": {"enum": [{"a": [1, False]}]}}
+    assert [tool_calls.check_arguments("t", x, deep)[1] for x in ('{"a":[1.0,false]}', '{"a":[1,0]}', '{"a":[true,false]}')] == ["ok", "$: not in enum", "$: not in enum"]
+
+
+def test_calls_that_wait_for_several_are_ordered(spark):
+    rng = random.Random(9)
+    waits = {}
+    for conv in range(30):
+        n = rng.randrange(1, 40)
+        for i in range(n):
+            pool = range(i) if conv % 3 else range(n)  # every third conversation has circles
+            waits[conv, f"c{i}"] = sorted({f"c{rng.choice(pool)}" for _ in range(rng.choice([0, 1, 1, 1, 2, 3]))} | ({"gone"} if rng.random() < 0.1 else set())) if pool else []
+    diamond = {"a": [], "b": ["a"], "c": ["a"], "d": ["b", "c", "c"], "e": ["d"], "f": ["e", "a"], "x": ["y"], "y": ["x"], "z": ["x", "a"]}
+    waits |= {(99, k): v for k, v in diamond.items()}
+    rows = [(conv, i, "assistant", "t", call, "fetch", '{"page":1}', after, None) for i, ((conv, call), after) in enumerate(waits.items())]
+    rng.shuffle(rows)
+    schema = "conv bigint, turn bigint, role string, text string, call string, tool string, arguments string, after array<string>, result_of string"
+    out = {(r.conv, r.call): r for r in tool_calls.link(spark.createDataFrame(rows, schema), queries.SCHEMAS).collect()}
+
+    def depth(conv, call, path=()):
+        if call in path:
+            return None
+        before = [depth(conv, c, (*path, call)) for c in set(waits[conv, call]) if (conv, c) in waits]
+        return None if None in before else max((d + 1 for d in before), default=0)
+
+    for (conv, call), after in waits.items():
+        want = depth(conv, call)
+        assert out[conv, call].depth == want, (conv, call)
+        for c in after:
+            if want is not None and (conv, c) in waits:
+                assert out[conv, c].place < out[conv, call].place
+    assert [out[99, c].depth for c in "abcdefxyz"] == [0, 1, 1, 2, 3, 4, None, None, None]
+    assert json.loads(out[99, "d"].json)["tool_call"]["after"] == ["b", "c", "c"] and json.loads(out[99, "b"].json)["tool_call"]["after"] == "a"
