@@ -133,18 +133,33 @@ def uncertainty_at_line(summary: DataFrame, keys: Sequence[str]) -> DataFrame:
     return best.groupBy(*keys).agg(F.avg("_u").alias("uncertainty_at_line"))
 
 
-def best_so_far(log: DataFrame, step: str, metric: str, by: Sequence[str] = (), higher: bool = True) -> DataFrame:
-    """Running best value, the step it was reached at and steps since; one run's epochs per window."""
-    w = Window.partitionBy(*by).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
-    best = (F.max if higher else F.min)(metric).over(w)
-    out = log.withColumn("best", best)
-    prev = F.lag("best").over(Window.partitionBy(*by).orderBy(step))
-    improved = prev.isNull() | ((F.col("best") > prev) if higher else (F.col("best") < prev))
-    out = out.withColumn("_at", F.when(improved, F.col(step)))
-    out = out.withColumn("best_step", F.last("_at", ignorenulls=True).over(w))
-    n = F.count_if(F.col("_at").isNull()).over(w)
-    since = n - F.coalesce(F.last(F.when(F.col("_at").isNotNull(), n), ignorenulls=True).over(w), F.lit(0))
-    return out.withColumn("stale_steps", since).drop("_at")
+def best_so_far(log: DataFrame, step: str, metric: str, by: Sequence[str] = (), higher: bool = True, chunk: int = 4096) -> DataFrame:
+    """Running best value, the step it was reached at and steps since.
+
+    A scan in chunks of ``chunk`` step numbers: each chunk is scanned by itself, chunk results are scanned per run, and both are put together, so a
+    run of any length is never sorted in one task. Steps are numbers and unique in their run.
+    """
+    by, sign = list(by), (1 if higher else -1)
+    part, here = [*by, "_chunk"], F.col(metric) * sign
+    rows = log.withColumn("_chunk", F.floor(F.col(step) / chunk))
+    inner = Window.partitionBy(*part).orderBy(step)
+    upto, before = inner.rowsBetween(Window.unboundedPreceding, 0), inner.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+
+    def carried(df: DataFrame, aggs: dict[str, Column], scans: dict[str, Column]) -> DataFrame:
+        """Per chunk what all chunks before it give; one row per chunk and run."""
+        return df.groupBy(*part).agg(*[a.alias(n) for n, a in aggs.items()]).select(*part, *[c.over(earlier).alias(n) for n, c in scans.items()])
+
+    first = carried(rows, {"_m": F.max(here), "_c": F.count("*")}, {"_top": F.max("_m"), "_rows": F.sum("_c")})
+    seen = rows.withColumns({"_in": F.max(here).over(upto), "_prev": F.max(here).over(before), "_n": F.row_number().over(inner)}).join(first, part)
+    prior = F.greatest("_prev", "_top")  # greatest passes over nulls
+    best = F.greatest("_in", "_top")
+    seen = seen.withColumns({"best": best * sign, "_n": F.col("_n") + F.coalesce("_rows", F.lit(0))})
+    seen = seen.withColumn("_at", F.when(prior.isNull() | (best > prior), F.struct(F.col(step).alias("s"), F.col("_n").alias("n"))))
+    seen = seen.drop("_in", "_prev", "_top", "_rows")
+    late = carried(seen, {"_l": F.max("_at")}, {"_last": F.max("_l")})
+    out = seen.withColumn("_own", F.max("_at").over(upto)).join(late, part).withColumn("_own", F.coalesce("_own", "_last"))
+    return out.select(*log.columns, "best", F.col("_own.s").alias("best_step"), (F.col("_n") - F.col("_own.n")).cast("bigint").alias("stale_steps"))
 
 
 def batch_counts(df: DataFrame, by: Sequence[str] = (), status: str = "status") -> DataFrame:

@@ -104,8 +104,8 @@ def split_by_year(
 ) -> DataFrame:
     """Validation from a year on, else a seeded share when one side would be empty.
 
-    The seeded share cuts the hash order at ``int(n*(1-ratio))`` kept within 1..n-1: exact,
-    by counting hash ranges first and ranking one range only.
+    The seeded share cuts the hash order at ``int(n*(1-ratio))`` kept within 1..n-1, exactly; rows of the same ids
+    stay on one side.
     """
     base = split_by_aoi(df, holdout, key=key)
     rest = base.filter(F.col("part") != "holdout")
@@ -115,20 +115,30 @@ def split_by_year(
         return base.withColumn("part", F.when(F.col("part") == "holdout", "holdout").when(late, "val").otherwise("train"))
     keep = max(1, min(int(n_all * (1.0 - val_ratio)), n_all - 1))
     hashed = base.withColumn("_h", F.xxhash64(F.lit(seed), *[F.col(c) for c in ids]))
-    bucket = F.pmod(F.shiftright("_h", 52) + 2048, F.lit(4096))
-    live = hashed.filter(F.col("part") != "holdout")
-    sizes = live.groupBy(bucket.alias("_b")).agg(F.count("*").alias("_c")).orderBy("_b").collect()  # at most 4096 rows
-    before, border, left = 0, None, 0
-    for b, c in sizes:
-        if before + c > keep:
-            border, left = int(b), keep - before
-            break
-        before += c
-    w = Window.orderBy("_h", *ids)
-    edge = live.filter(bucket == F.lit(border)).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= left).select(*ids, F.lit(True).alias("_in"))
-    out = hashed.join(edge, list(ids), "left")
-    train = (bucket < F.lit(border)) | F.coalesce("_in", F.lit(False))
-    return out.withColumn("part", F.when(F.col("part") == "holdout", "holdout").when(train, "train").otherwise("val")).drop("_h", "_in")
+    last = kth_smallest(hashed.filter(F.col("part") != "holdout"), "_h", keep)
+    train = F.col("_h") <= F.lit(last)
+    return hashed.withColumn("part", F.when(F.col("part") == "holdout", "holdout").when(train, "train").otherwise("val")).drop("_h")
+
+
+def kth_smallest(df: DataFrame, value: str, k: int, few: int = 4096) -> int:
+    """The ``k``-th smallest of 64-bit integers (from 1), found by descending their bits twelve at a time.
+
+    Each round counts at most 4096 ranges, combined before the shuffle, and keeps one; once that one holds ``few`` rows or fewer they are fetched. No rows are sorted.
+    """
+    rest, left, shift = df.select(F.col(value).alias("_v")), k, 64
+    while shift > 0:
+        shift = max(0, shift - 12)
+        counts = rest.groupBy(F.shiftright("_v", shift).alias("b")).agg(F.count("*").alias("c")).orderBy("b").collect()  # at most 4096 ranges
+        for b, c in counts:
+            if left <= c:
+                break
+            left -= c
+        if shift == 0:
+            return int(b)
+        rest = rest.filter(F.shiftright("_v", shift) == F.lit(b))
+        if c <= few:
+            return sorted(r[0] for r in rest.collect())[left - 1]
+    raise ValueError("no values")
 
 
 def inference_history(series: DataFrame, reference: Column, n: int, fresh: DataFrame | None = None, keys: Sequence[str] = ("aoi_id",)) -> DataFrame:

@@ -233,13 +233,14 @@ def nearest_segment(
     The search radius grows fourfold until every query is settled: a query is settled once
     its nearest candidate lies within the radius that was searched in full, so no query
     meets all segments of its key unless they really are that close. Queries whose keys
-    have no target are left out, as are queries and targets with a coordinate that is null or not a number. Targets carry ``cum0`` (distance from their line's start).
+    have no target are left out, as are queries and targets with a coordinate that is null, infinite or not a number. Targets carry ``cum0`` (distance from their line's start).
     """
     q_cols, t_cols = ["x0", "y0", "x1", "y1"], ["x0", "y0", "x1", "y1", "cum0"]
     def placed(df: DataFrame) -> DataFrame:
         whole = F.lit(True)
         for c in q_cols:
-            whole = whole & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+            # not a number counts as largest, so the comparison leaves it out with the infinite ones
+            whole = whole & F.col(c).isNotNull() & (F.abs(F.col(c).cast("double")) < F.lit(float("inf")))
         return df.filter(whole)
 
     queries, targets = placed(queries), placed(targets).select(*keys, *[F.col(c).alias(f"_{c}") for c in t_cols])
