@@ -115,11 +115,13 @@ class Transducer:
         self.value = {i: b for b, i in model.byte.items()}
         #: whether piece b may follow a, by a * size + b; a piece that starts has a = size
         self.follows: dict[int, bool] = {}
+        self.limit = MEMORY
         self.forget()
 
-    def fresh(self) -> Transducer:
-        """The same arcs and acceptor without remembered words."""
+    def fresh(self, limit: int = MEMORY) -> Transducer:
+        """The same arcs and acceptor without remembered words, for ``limit`` of them a generation."""
         out = copy.copy(self)
+        out.limit = limit
         out.forget()
         return out
 
@@ -169,7 +171,7 @@ class Transducer:
             out = self.best(word)
         if out is None:
             out = self.parted(word)
-        if len(self.memory) >= MEMORY:
+        if len(self.memory) >= self.limit:
             self.older, self.memory = self.memory, {}
         self.memory[word] = out
         return out
@@ -329,10 +331,11 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "text") -> Da
     return packed.mapInArrow(K.returned(run), schema).toDF(*kept, text)
 
 
-def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", limit: int = 3 * MEMORY) -> DataFrame:
     """One row per input row: id, ``n_ids``, ``n_bytes`` (byte pieces), ``ids_sha256`` of the ids as little-endian 32-bit words, ``exact``: decoding gives the text back.
 
-    Encoding and decoding happen in one task, so ids are not moved. Null counts as empty here.
+    Encoding and decoding happen in one task, so ids are not moved. Null counts as empty here. Nothing else runs beside it in a worker, so a task may remember
+    more words (``limit`` a generation, about 250 bytes each) than one of a longer job. Null and repeated ids and repeated rows pass as they are.
     """
     import hashlib
 
@@ -340,7 +343,7 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "te
     picked = df.select(F.col(id_col).alias("c0"), F.col(text).cast("string").alias("c1"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fst = _transducer(path, model.value).fresh()
+        fst = _transducer(path, model.value).fresh(limit)
         is_byte = np.zeros(len(model.value.pieces), bool)
         is_byte[list(model.value.byte.values())] = True
         for batch in batches:
