@@ -272,3 +272,28 @@ def test_calls_that_wait_for_several_are_ordered(spark):
                 assert out[conv, c].place < out[conv, call].place
     assert [out[99, c].depth for c in "abcdefxyz"] == [0, 1, 1, 2, 3, 4, None, None, None]
     assert json.loads(out[99, "d"].json)["tool_call"]["after"] == ["b", "c", "c"] and json.loads(out[99, "b"].json)["tool_call"]["after"] == "a"
+
+
+def test_unigram_paths_are_the_library_s(tmp_path):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    rng = random.Random(12)
+    m = proto.ModelProto()
+    for piece, kind in (("<unk>", 2), ("<s>", 3), ("</s>", 3)):
+        m.pieces.add(piece=piece, score=0.0, type=kind)
+    texts = {"▁", *"abcdé"} | {"".join(rng.choice("abcdé") for _ in range(rng.randrange(2, 6))) for _ in range(120)}
+    texts |= {"▁" + "".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 5))) for _ in range(60)}
+    for piece in sorted(texts):
+        m.pieces.add(piece=piece, score=-rng.uniform(1, 12), type=1)
+    m.trainer_spec.model_type = 1
+    m.normalizer_spec.name = "identity"
+    path = str(tmp_path / "unigram.model")
+    with open(path, "wb") as f:
+        f.write(m.SerializeToString())
+    library, fst = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Transducer(pieces.Model(path))
+    assert fst.model.kind == "unigram"
+    for _ in range(300):
+        text = " ".join("".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 15))) for _ in range(rng.randrange(1, 6)))
+        ids = [int.from_bytes(fst.encode(text)[k : k + 4], "little") for k in range(0, len(fst.encode(text)), 4)]
+        assert ids == library.encode(text) and fst.decode(ids) == text
